@@ -1,10 +1,797 @@
-"""Every registered query of the event engine and its DuckDB twin."""
+"""Every registered query of the event engine and its DuckDB twin.
+
+The documents of the test tables have no dates, so days follow by position; the words of highest power stand for eventful
+ones, four to an event, and bursts have given places where an operator is checked by itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import arrays, text
+from ..operators import binomial, bursts, detect, evaluate, pairs, retrieve, summarize, topics
+from ..operators import corpus as co
+from ..operators.corpus import Corpus, read_table
+from ..streaming import daily
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+DAYS, MIN_DF, TOP, PER_EVENT = 30, 10, 40, 4
+STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+SPACE = r"[\x20\x09-\x0D]+"
+
+BASE = rf"""
+WITH nd AS (SELECT count(*) AS n FROM documents),
+d AS (SELECT doc_id, text, lang, source, CAST(floor(doc_id * {DAYS} / n) AS INT) AS day, split_part(coalesce(text, ''), chr(10), 1) AS name FROM documents, nd),
+u AS (SELECT doc_id * 2 AS unit_id, doc_id, 0 AS part, day, name AS txt FROM d UNION ALL SELECT doc_id * 2 + 1, doc_id, 1, day, substr(coalesce(text, ''), length(name) + 2) FROM d),
+w AS (SELECT DISTINCT unit_id, doc_id, day, word FROM (SELECT unit_id, doc_id, day, unnest(string_split_regex(txt, '{SPACE}')) AS word FROM u) WHERE length(word) BETWEEN 3 AND 15 AND lower(word) NOT IN ({STOP})),
+pd AS (SELECT day, coalesce(c, 0) AS n FROM (SELECT CAST(range AS INT) AS day FROM range({DAYS})) LEFT JOIN (SELECT day, count(*) AS c FROM u GROUP BY day) USING (day)),
+c AS (SELECT word, day, count(*) AS c FROM w GROUP BY word, day),
+v AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS INT) AS word_id, word, df FROM (SELECT word, count(*) AS df FROM w GROUP BY word) WHERE df >= {MIN_DF} AND df <= 0.9 * (SELECT count(*) FROM u)),
+t AS (SELECT word_id, word, df, day, CASE WHEN n > 0 THEN coalesce(c, 0) / n * log2((SELECT count(*) FROM u) / df) ELSE 0 END AS y FROM v CROSS JOIN pd LEFT JOIN c USING (word, day)),
+pk AS (SELECT word_id, k, (CASE WHEN k * 2 = {DAYS} THEN 1 ELSE 2 END) / {DAYS} * (pow(sum((y - m) * cos(2 * pi() * k * day / {DAYS})), 2) + pow(sum((y - m) * sin(2 * pi() * k * day / {DAYS})), 2)) AS p
+  FROM t JOIN (SELECT word_id, avg(y) AS m FROM t GROUP BY word_id) USING (word_id) CROSS JOIN (SELECT range AS k FROM range(1, {DAYS // 2 + 1})) GROUP BY word_id, k),
+sp AS (SELECT word_id, dps, CASE WHEN dps > 0 THEN CAST({DAYS} // k AS INT) END AS dp FROM (SELECT word_id, k, round(p, 10) AS dps, row_number() OVER (PARTITION BY word_id ORDER BY round(p, 10) DESC, k) AS r FROM pk) WHERE r = 1),
+ev AS (SELECT word_id, word, df, dps, dp, r FROM (SELECT *, row_number() OVER (ORDER BY dps DESC, word) AS r FROM v JOIN sp USING (word_id)) WHERE r <= {TOP}),
+et AS (SELECT t.* FROM t JOIN ev USING (word_id)),
+em AS (SELECT CAST((r - 1) // {PER_EVENT} AS INT) AS event_id, word_id, word, dps FROM ev),
+eb AS (SELECT event_id, CAST(b AS INT) AS burst_id, (event_id * 7 + 3 + 11 * b) % {DAYS} + 0.25 AS loc, 1.5 + (event_id + b) % 3 AS scale FROM (SELECT DISTINCT event_id FROM em) CROSS JOIN (SELECT range AS b FROM range(2))),
+bi AS (SELECT event_id, burst_id, CAST(greatest(floor(loc - scale), 0) AS INT) AS start, CAST(least(ceil(loc + scale), {DAYS - 1}) AS INT) AS "end" FROM eb),
+vn AS (SELECT count(*) AS n FROM embeddings),
+ew AS (SELECT ev.word_id, ev.word, e.embedding AS vec FROM ev CROSS JOIN vn JOIN embeddings e ON e.vec_id = ev.word_id % vn.n)
+"""
+#: Trajectories as lists, their trimmed form, and their pairs.
+LISTS = rf""",
+tl AS (SELECT word_id, list(y ORDER BY day) AS y FROM et GROUP BY word_id),
+ma AS (SELECT word_id, day, avg(y) OVER (PARTITION BY word_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM et),
+cu AS (SELECT word_id, avg(m) + stddev_pop(m) AS cut FROM ma WHERE day >= 6 GROUP BY word_id),
+tr AS (SELECT word_id, day, CASE WHEN y > cut THEN y ELSE 0 END AS y FROM et JOIN cu USING (word_id))
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def corpus(spark: SparkSession, sf_dir: str, **settings) -> Corpus:
+    return Corpus.of_documents(spark, sf_dir, DAYS, **{"min_df": MIN_DF, **settings})
+
+
+def r6(c, name: str | None = None):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+def members_of(words: DataFrame) -> DataFrame:
+    return words.select(F.floor((F.col("rank") - 1) / PER_EVENT).cast("int").alias("event_id"), "word_id", "word", "dps")
+
+
+def given_fits(members: DataFrame) -> DataFrame:
+    b = members.select("event_id").distinct().select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("burst_id"))
+    return b.select("event_id", "burst_id", ((F.col("event_id") * 7 + 3 + 11 * F.col("burst_id")) % DAYS + 0.25).alias("loc"), (1.5 + (F.col("event_id") + F.col("burst_id")) % 3).alias("scale"))
+
+
+def given_bursts(members: DataFrame) -> DataFrame:
+    return bursts.burst_intervals(given_fits(members), DAYS)
+
+
+def embedded(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    return pairs.stand_in_vectors(words, read_table(spark, sf_dir, "embeddings"))
+
+
+# --- tokens and units -----------------------------------------------------------------------------------------------------
+
+
+@query("token_counts", BASE + "SELECT unit_id, count(*) AS n_words FROM w GROUP BY unit_id")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).words.groupBy("unit_id").agg(F.count("*").alias("n_words"))
+
+
+@query("unit_explode", BASE + "SELECT unit_id, doc_id, part, day, length(txt) AS n_chars FROM u")
+def unit_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).units.select("unit_id", "doc_id", "part", "day", F.length("txt").cast("long").alias("n_chars"))
+
+
+@query("bodies_only", BASE + "SELECT unit_id, day, md5(txt) AS body_md5 FROM u WHERE part = 1")
+def bodies_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir, names_apart=False).units.select("unit_id", "day", F.md5("txt").alias("body_md5"))
+
+
+@query("headlines_only", "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS name FROM documents")
+def headlines_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.headline(F.col("text")).alias("name"))
+
+
+@query("regex_tokens", r"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(text, '\w+') AS t FROM documents)")
+def regex_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.regex_words(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query("lower_split_tokens", r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, string_split_regex(lower(text), '\W+') AS t FROM documents)")
+def lower_split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.lower_split(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("h"))
+
+
+@query("simple_preprocess", r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda x: length(x) BETWEEN 2 AND 15) AS t FROM documents)")
+def simple_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.simple_tokens(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("h"))
+
+
+@query("strip_punctuation", BASE + r"SELECT word, list_filter(string_split_regex(regexp_replace(word, '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')[1] AS piece FROM v")
+def strip_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).vocab.select("word", text.first_piece(F.col("word")).alias("piece"))
+
+
+@query("headline_word_counts", BASE + "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(name, '" + SPACE + "')) AS word FROM d) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 1000")
+def headline_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).docs.select(F.explode(text.words(text.headline(F.col("text")))).alias("word"))
+    return own.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(1000)
+
+
+@query("positional_days", "WITH pd AS (SELECT range AS day, 5 + range % 7 AS n_docs FROM range(4000)), s AS (SELECT day, sum(n_docs) OVER (ORDER BY day) - n_docs AS lo, sum(n_docs) OVER (ORDER BY day) AS hi FROM pd) SELECT doc_id, CAST(day AS INT) AS day FROM documents JOIN s ON doc_id >= lo AND doc_id < hi")
+def positional_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_day = spark.range(4000).select(F.col("id").cast("int").alias("day"), (5 + F.col("id") % 7).alias("n_docs"))
+    return co.positional_days(read_table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos")), per_day).select("doc_id", "day")
+
+
+# --- bag of words and trajectories ----------------------------------------------------------------------------------------
+
+
+@query("vocabulary", BASE + "SELECT word_id, word, df FROM v")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).vocab.select("word_id", "word", "df")
+
+
+@query("vocabulary_wide", BASE + "SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS INT) AS word_id, word, df FROM (SELECT word, count(*) AS df FROM w GROUP BY word) WHERE df BETWEEN 2 AND 100000")
+def vocabulary_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir, min_df=2, max_df=100_000).vocab.select("word_id", "word", "df")
+
+
+@query("docs_per_day", BASE + "SELECT day, count(*) AS n FROM d GROUP BY day")
+def docs_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).docs.groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("doc_freq_by_day", BASE + "SELECT word_id, day, c FROM c JOIN v USING (word)")
+def doc_freq_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).vocab.select("word_id", F.explode("by_day").alias("day", "c"))
+
+
+@query("dfidf_trajectory", BASE + "SELECT word_id, day, round(y, 6) AS y FROM t")
+def dfidf_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).traj.select("word_id", F.posexplode("y").alias("day", "y")).select("word_id", "day", r6("y"))
+
+
+@query("dfidf_natural", BASE + "SELECT word_id, day, round(CASE WHEN n > 0 THEN coalesce(c, 0) / n * ln((SELECT count(*) FROM u) / df) ELSE 0 END, 6) AS y FROM v CROSS JOIN pd LEFT JOIN c USING (word, day)")
+def dfidf_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return co.trajectories(c.vocab, c.per_day, natural=True).select("word_id", F.posexplode("y").alias("day", "y")).select("word_id", "day", r6("y"))
+
+
+@query("moving_average_7", BASE + "SELECT word_id, day, round(m, 6) AS m FROM (SELECT word_id, day, avg(y) OVER (PARTITION BY word_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM t) WHERE day >= 6")
+def moving_average_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).traj.select("word_id", F.posexplode(arrays.moving_average(F.col("y"), 7)).alias("day", "m"))
+    return own.select("word_id", (F.col("day") + 6).alias("day"), r6("m"))
+
+
+_MA = "SELECT word_id, day, y, avg(y) OVER (PARTITION BY word_id ORDER BY day ROWS BETWEEN {b} PRECEDING AND CURRENT ROW) AS m FROM t"
+
+
+@query("trajectory_cutoff", BASE + f"SELECT word_id, round(avg(m) + stddev_pop(m), 6) AS cut FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id")
+def trajectory_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).traj.select("word_id", r6(arrays.cutoff(F.col("y"), 7), "cut"))
+
+
+@query("plot_cutoff", BASE + f"SELECT word_id, round(a, 6) AS cut_3, round(b, 6) AS cut_7 FROM (SELECT word_id, avg(m) + 0.5 * stddev_pop(m) AS a FROM ({_MA.format(b=2)}) WHERE day >= 2 GROUP BY word_id) JOIN (SELECT word_id, avg(m) + 0.5 * stddev_pop(m) AS b FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id) USING (word_id)")
+def plot_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.col("y")
+    return corpus(spark, sf_dir).traj.select("word_id", r6(arrays.cutoff(y, 3, 0.5), "cut_3"), r6(arrays.cutoff(y, 7, 0.5), "cut_7"))
+
+
+@query("burst_filter", BASE + f"SELECT word_id, day, round(CASE WHEN y > cut THEN y ELSE 0 END, 6) AS y FROM t JOIN (SELECT word_id, avg(m) + stddev_pop(m) AS cut FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id) USING (word_id)")
+def burst_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.trimmed(corpus(spark, sf_dir).traj).select("word_id", F.posexplode("y").alias("day", "y")).select("word_id", "day", r6("y"))
+
+
+@query("spectral_analysis", BASE + "SELECT word_id, word, round(dps, 6) AS dps, dp FROM v JOIN sp USING (word_id)")
+def spectral_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).spectra.select("word_id", "word", r6("dps"), "dp")
+
+
+@query("eventful_words", BASE + "SELECT word_id, word, round(dps, 6) AS dps FROM v JOIN sp USING (word_id) WHERE dps > 0.05")
+def eventful_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.eventful(corpus(spark, sf_dir).spectra, 0.05).select("word_id", "word", r6("dps"))
+
+
+@query("periodicity_class", BASE + f"SELECT word_id, CASE WHEN dp IS NULL THEN 'flat' WHEN dp > {DAYS // 2} THEN 'aperiodic' ELSE 'periodic' END AS kind FROM sp")
+def periodicity_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.period_class(corpus(spark, sf_dir).spectra, DAYS).select("word_id", "kind")
+
+
+@query("heuristic_stopwords", BASE + ", m AS (SELECT word_id, word, dps, avg(y) AS m FROM t JOIN sp USING (word_id) GROUP BY ALL), s AS (SELECT max(dps) AS b, min(m) AS lo, max(m) AS hi FROM m WHERE word IN ('this', 'with', 'from', 'was', 'der', 'pour')) SELECT word_id, word, round(b, 6) AS bound FROM m, s WHERE dps <= b AND m BETWEEN lo AND hi")
+def heuristic_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return co.stopwords_by_spectrum(c.traj, c.spectra.select("word_id", "dps"), ["this", "with", "from", "was", "der", "pour"]).select("word_id", "word", r6("bound"))
+
+
+_RUNS = ", a AS (SELECT word_id, day, day - row_number() OVER (PARTITION BY word_id ORDER BY day) AS i FROM (SELECT word_id, day FROM c JOIN v USING (word))), r AS (SELECT word_id, min(day) AS first, max(day) AS last, count(*) AS n FROM a GROUP BY word_id, i)"
+
+
+@query("day_runs", BASE + _RUNS + f" SELECT word_id, first, last, n FROM r WHERE first > 0 AND last < {DAYS - 1} AND n >= 3")
+def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = corpus(spark, sf_dir).vocab.select("word_id", F.explode("by_day").alias("day", "c"))
+    return co.runs_of_days(active.select("word_id", "day"), "word_id", 3, True, DAYS)
+
+
+@query("longest_run", BASE + _RUNS + " SELECT word_id, max(n) AS n FROM r GROUP BY word_id")
+def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = corpus(spark, sf_dir).vocab.select("word_id", F.explode("by_day").alias("day", "c"))
+    return co.runs_of_days(active.select("word_id", "day"), "word_id", closed=False).groupBy("word_id").agg(F.max("n").alias("n"))
+
+
+@query("plot_series", BASE + LISTS + "SELECT word_id, day, round(et.y, 6) AS y, round(cut, 6) AS cut, round(tr.y, 6) AS burst FROM et JOIN cu USING (word_id) JOIN tr USING (word_id, day)")
+def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP).withColumn("cut", arrays.cutoff(F.col("y"), 7))
+    own = own.select("word_id", "cut", F.posexplode(F.arrays_zip("y", arrays.trim(F.col("y"), F.col("cut")).alias("b"))).alias("day", "s"))
+    return own.select("word_id", "day", r6(F.col("s.y"), "y"), r6("cut"), r6(F.col("s.b"), "burst"))
+
+
+_EV = "WITH e AS (SELECT CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS day, CAST(props->>'$.k' AS INT) AS k FROM events), nd AS (SELECT day, count(*) AS n FROM e WHERE day BETWEEN 0 AND 29 GROUP BY day), f AS (SELECT k, day, count(*) AS c FROM e WHERE day BETWEEN 0 AND 29 GROUP BY k, day), df AS (SELECT k, sum(c) AS df FROM f GROUP BY k)"
+
+
+@query("event_stream_trajectory", _EV + " SELECT k, nd.day, round(coalesce(c, 0) / n * log2((SELECT sum(n) FROM nd) / df), 6) AS y FROM df CROSS JOIN nd LEFT JOIN f USING (k, day)")
+def event_stream_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k")).where("day between 0 and 29")
+    per_day = {r.day: r.n for r in e.groupBy("day").agg(F.count("*").alias("n")).collect()}
+    own = e.groupBy("k", "day").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("df"), F.map_from_entries(F.collect_list(F.struct("day", "c"))).alias("by_day"))
+    y = co.trajectories(own.select(F.col("k").alias("word_id"), F.lit("").alias("word"), "df", "by_day"), [per_day.get(t, 0) for t in range(DAYS)])
+    return y.select(F.col("word_id").alias("k"), F.posexplode("y").alias("day", "y")).select("k", "day", r6("y"))
+
+
+@query("daily_windows", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.counts(read_table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+# --- pairs ----------------------------------------------------------------------------------------------------------------
+
+
+@query("doc_overlap_pairs", BASE + ", o AS (SELECT unit_id, word_id, df FROM w JOIN ev USING (word)) SELECT a.word_id AS i, b.word_id AS j, count(*) AS both, round(count(*) / least(a.df, b.df), 6) AS overlap FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id, a.df, b.df")
+def doc_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return pairs.doc_overlap(c.strongest(TOP), c.words).select("i", "j", "both", r6("overlap"))
+
+
+_KL = "sum(CASE WHEN {p}.y = 0 THEN 0 WHEN {q}.y = 0 THEN CAST('inf' AS DOUBLE) ELSE {p}.y / {p}.s * log2(({p}.y / {p}.s) / ({q}.y / {q}.s)) END)"
+_NORM = ", z AS (SELECT word_id, day, y, sum(y) OVER (PARTITION BY word_id) AS s FROM et)"
+_KLP = _NORM + ", kl AS (SELECT a.word_id AS i, b.word_id AS j, " + _KL.format(p="a", q="b") + " AS kl_ij, " + _KL.format(p="b", q="a") + " AS kl_ji FROM z a JOIN z b ON a.day = b.day AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id)"
+
+
+@query("kl_divergence_pairs", BASE + _KLP + " SELECT i, j, round(kl_ij, 6) AS kl_ij, round(kl_ji, 6) AS kl_ji, round(greatest(kl_ij, kl_ji), 6) AS divergence FROM kl")
+def kl_divergence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.kl_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("kl_ij"), r6("kl_ji"), r6("divergence"))
+
+
+@query("set_divergence", BASE + _KLP + " SELECT a.event_id, round(coalesce(max(greatest(kl_ij, kl_ji)), 0), 6) AS divergence FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id JOIN kl ON kl.i = a.word_id AND kl.j = b.word_id GROUP BY a.event_id")
+def set_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    return pairs.set_extreme(pairs.kl_pairs(own), members_of(own), "divergence", True).select("event_id", r6("divergence"))
+
+
+@query("set_doc_overlap", BASE + ", o AS (SELECT unit_id, word_id, df FROM w JOIN ev USING (word)), p AS (SELECT a.word_id AS i, b.word_id AS j, count(*) / least(a.df, b.df) AS overlap FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id, a.df, b.df) SELECT a.event_id, round(min(coalesce(overlap, 0)), 6) AS overlap FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id LEFT JOIN p ON p.i = a.word_id AND p.j = b.word_id GROUP BY a.event_id")
+def set_doc_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = c.strongest(TOP)
+    return pairs.set_extreme(pairs.doc_overlap(own, c.words), members_of(own), "overlap", False).select("event_id", r6("overlap"))
+
+
+_JS = "{w} AS (SELECT a.word_id AS i, b.word_id AS j, a.day, a.y AS p, b.y AS q, (a.y + b.y) / 2 AS m FROM {t} a JOIN {t} b ON a.day = b.day AND a.word_id < b.word_id), {w}s AS (SELECT i, j, sum(p) AS sp, sum(q) AS sq, sum(m) AS sm FROM {w} GROUP BY i, j), js AS (SELECT i, j, sum(CASE WHEN p = 0 OR sp = 0 THEN 0 ELSE p / sp * log2((p / sp) / (m / sm)) END) / 2 + sum(CASE WHEN q = 0 OR sq = 0 THEN 0 ELSE q / sq * log2((q / sq) / (m / sm)) END) / 2 AS jsd, min(least(sp, sq)) AS mass FROM {w} JOIN {w}s USING (i, j) GROUP BY i, j)"
+
+
+@query("jsd_pairs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(jsd, 6) AS jsd FROM js")
+def jsd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.jsd_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("jsd"))
+
+
+_VEC = "list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))"
+
+
+@query("vector_distance_pairs", BASE + f"SELECT a.word_id AS i, b.word_id AS j, round({_VEC}, 5) AS distance, round((list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) + 1) / 2, 5) AS similarity FROM ew a JOIN ew b ON a.word_id < b.word_id")
+def vector_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pairs.vector_pairs(embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP)))
+    return own.select("i", "j", F.round("distance", 5).alias("distance"), F.round("similarity", 5).alias("similarity"))
+
+
+@query("set_word_similarity", BASE + ", x AS (SELECT event_id, em.word_id, generate_subscripts(vec, 1) AS k, CAST(unnest(vec) AS DOUBLE) AS x FROM em JOIN ew USING (word_id)), s AS (SELECT event_id, k, sum(x) AS s FROM x GROUP BY event_id, k) SELECT event_id, word_id, round((sum((s - x) * x) / (sqrt(sum((s - x) * (s - x))) * sqrt(sum(x * x))) + 1) / 2, 5) AS similarity FROM x JOIN s USING (event_id, k) GROUP BY event_id, word_id")
+def set_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    return pairs.set_word_similarity(members_of(own), embedded(spark, sf_dir, own)).select("event_id", "word_id", F.round("similarity", 5).alias("similarity"))
+
+
+_CD = LISTS + ", " + _JS.format(w="jp", t="tr") + f", cd AS (SELECT i, j, CASE WHEN mass > 0 THEN least(jsd * {_VEC}, 1e6) ELSE 1e6 END AS d FROM js JOIN ew a ON a.word_id = i JOIN ew b ON b.word_id = j)"
+EPS = 0.9
+
+
+@query("cluster_distance", BASE + _CD + " SELECT i, j, round(d, 5) AS d FROM cd")
+def cluster_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).strongest(TOP)))
+    return pairs.cluster_distance(own).select("i", "j", F.round("d", 5).alias("d"))
+
+
+@query("experimental_costs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(exp(list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))), 5) AS exp_cosine, round(sqrt(greatest(jsd, 0)), 5) AS root_jsd FROM js JOIN ew a ON a.word_id = i JOIN ew b ON b.word_id = j")
+def experimental_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP))
+    both = pairs.jsd_pairs(own).join(pairs.vector_pairs(own), ["i", "j"])
+    return both.select("i", "j", F.round(F.exp(2 * F.col("similarity") - 1), 5).alias("exp_cosine"), F.round(F.sqrt(F.greatest("jsd", F.lit(0.0))), 5).alias("root_jsd"))
+
+
+# --- detectors ------------------------------------------------------------------------------------------------------------
+
+_CC = _CD.replace(LISTS, LISTS, 1) + f", g AS (SELECT i AS a, j AS b FROM cd WHERE d <= {EPS} UNION ALL SELECT j, i FROM cd WHERE d <= {EPS}), r AS (SELECT DISTINCT a AS x, a AS y FROM g UNION SELECT r.x, g.b FROM r JOIN g ON r.y = g.a), lab AS (SELECT x AS word_id, min(y) AS root FROM r GROUP BY x), cl AS (SELECT CAST(dense_rank() OVER (ORDER BY root) - 1 AS INT) AS event_id, word_id FROM lab)"
+_REC = BASE.replace("\nWITH", "\nWITH RECURSIVE", 1)
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = detect.materialize(embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).strongest(TOP))), "words")
+    d = detect.materialize(pairs.cluster_distance(own), "distances")
+    return own, d, detect.cluster_events(own, d, EPS)
+
+
+@query("cluster_events", _REC + _CC + " SELECT event_id, word_id FROM cl")
+def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir)[2]
+
+
+@query("cluster_silhouette", _REC + _CC + ", e AS (SELECT i, j, d FROM cd UNION ALL SELECT j, i, d FROM cd), m AS (SELECT a.event_id AS e, a.word_id AS i, b.event_id AS o, avg(d) AS m FROM e JOIN cl a ON a.word_id = e.i JOIN cl b ON b.word_id = e.j GROUP BY ALL), ab AS (SELECT e, i, max(CASE WHEN e = o THEN m END) AS a, min(CASE WHEN e <> o THEN m END) AS b FROM m GROUP BY e, i) SELECT e AS event_id, i AS word_id, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 4) AS s FROM ab")
+def cluster_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, d, found = _clustered(spark, sf_dir)
+    return detect.silhouette(found, d).select("event_id", "word_id", F.round("s", 4).alias("s"))
+
+
+_DB = _CD + f", nb AS (SELECT i AS a, j AS b FROM cd WHERE d <= {EPS} UNION ALL SELECT j, i FROM cd WHERE d <= {EPS}), core AS (SELECT a AS x FROM nb GROUP BY a HAVING count(*) + 1 >= 4), g AS (SELECT a, b FROM nb WHERE a IN (SELECT x FROM core) AND b IN (SELECT x FROM core)), r AS (SELECT x, x AS y FROM core UNION SELECT r.x, g.b FROM r JOIN g ON r.y = g.a), lab AS (SELECT x, min(y) AS root FROM r GROUP BY x), bo AS (SELECT a, min(b) AS b FROM nb WHERE b IN (SELECT x FROM core) AND a NOT IN (SELECT x FROM core) GROUP BY a)"
+
+
+@query("density_clusters", _REC + _DB + " SELECT root AS event_id, x AS word_id FROM lab UNION ALL SELECT root, a FROM bo JOIN lab ON lab.x = bo.b")
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, d, _ = _clustered(spark, sf_dir)
+    return detect.density_clusters(own, d, EPS, 4)
+
+
+@query("k_medoids_words")
+def k_medoids_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, d, _ = _clustered(spark, sf_dir)
+    return detect.cluster_by_medoids(own, d, 6)
+
+
+@query("greedy_original")
+def greedy_original(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir, names_apart=False)
+    return detect.detect_original(c.strongest(TOP), c.words, DAYS)
+
+
+@query("greedy_all_words")
+def greedy_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir, names_apart=False)
+    return detect.detect_all_original(c.strongest(TOP), c.words)
+
+
+@query("greedy_embedded")
+def greedy_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detect_embedded(embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP)))
+
+
+@query("smoothed_words")
+def smoothed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = detect.smoothed(corpus(spark, sf_dir).strongest(TOP), DAYS)
+    return own.select("word_id", "kind", F.posexplode("y").alias("day", "y"))
+
+
+# --- bursts ---------------------------------------------------------------------------------------------------------------
+
+_ET = ", tv AS (SELECT event_id, day, sum(dps * y) / sum(dps) AS y FROM em JOIN t USING (word_id) GROUP BY event_id, day)"
+
+
+@query("event_trajectory", BASE + _ET + " SELECT event_id, day, round(y, 6) AS y FROM tv")
+def event_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    return bursts.event_trajectory(members_of(own).drop("dps"), own).select("event_id", "day", r6("y"))
+
+
+@query("event_mean_trajectory", BASE + " SELECT event_id, day, round(avg(y), 6) AS y FROM em JOIN t USING (word_id) GROUP BY event_id, day")
+def event_mean_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    return bursts.event_trajectory(members_of(own).drop("dps"), own, weighted=False).select("event_id", "day", r6("y"))
+
+
+_EP = _ET + f", ek AS (SELECT event_id, k, (CASE WHEN k * 2 = {DAYS} THEN 1 ELSE 2 END) / {DAYS} * (pow(sum((y - m) * cos(2 * pi() * k * day / {DAYS})), 2) + pow(sum((y - m) * sin(2 * pi() * k * day / {DAYS})), 2)) AS p FROM tv JOIN (SELECT event_id, avg(y) AS m FROM tv GROUP BY event_id) USING (event_id) CROSS JOIN (SELECT range AS k FROM range(1, {DAYS // 2 + 1})) GROUP BY event_id, k), ep AS (SELECT event_id, round(p, 6) AS dps, CAST({DAYS} // k AS INT) AS dp FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(p, 10) DESC, k) AS r FROM ek) WHERE r = 1)"
+
+
+@query("event_periods", BASE + _EP + f" SELECT event_id, dps, dp, CASE WHEN dp > {-(-DAYS // 2)} THEN 'aperiodic' ELSE 'periodic' END AS kind FROM ep WHERE dp > 7")
+def event_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    v = bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own))
+    return bursts.event_periods(v, DAYS).select("event_id", r6("dps"), "dp", "kind")
+
+
+@query("burst_intervals", BASE + 'SELECT event_id, burst_id, start, "end" FROM bi')
+def burst_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given_bursts(members_of(corpus(spark, sf_dir).strongest(TOP)))
+
+
+@query("burst_fits")
+def burst_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    v = bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own))
+    return bursts.fit_bursts(bursts.event_periods(v, DAYS, above=None))
+
+
+@query("burst_curves")
+def burst_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).strongest(TOP)
+    e = bursts.event_periods(bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own)), DAYS, above=None)
+    return bursts.burst_curves(bursts.fit_bursts(e), e, DAYS)
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------------------
+
+
+@query("docs_in_burst", BASE + 'SELECT event_id, burst_id, doc_id, day FROM bi JOIN d ON day BETWEEN start AND "end"')
+def docs_in_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return retrieve.in_bursts(given_bursts(members_of(c.strongest(TOP))), c.docs)
+
+
+@query("any_keyword_docs", BASE + "SELECT event_id, doc_id, count(DISTINCT word) AS n_words FROM em JOIN w USING (word) GROUP BY event_id, doc_id")
+def any_keyword_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return retrieve.any_keyword(members_of(c.strongest(TOP)), c.words)
+
+
+@query("retrieve_all_keywords", BASE + ', e2 AS (SELECT event_id, word FROM em WHERE word_id IN (SELECT word_id FROM ev WHERE r % 2 = 1)), sz AS (SELECT event_id, count(*) AS n FROM e2 GROUP BY event_id), h AS (SELECT event_id, doc_id, count(DISTINCT word) AS n FROM e2 JOIN w USING (word) GROUP BY event_id, doc_id), f AS (SELECT event_id, burst_id, doc_id, row_number() OVER (PARTITION BY event_id, burst_id ORDER BY doc_id) AS rank FROM h JOIN sz USING (event_id, n) JOIN d USING (doc_id) JOIN bi USING (event_id) WHERE day BETWEEN start AND "end") SELECT event_id, burst_id, CAST(rank AS INT) AS rank, doc_id FROM f WHERE rank <= 150')
+def retrieve_all_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = c.strongest(TOP)
+    two = members_of(own.where("rank % 2 = 1"))
+    return retrieve.all_keywords(given_bursts(members_of(own)), c.docs, two, c.words, 150)
+
+
+_TK = ', sc AS (SELECT event_id, burst_id, doc_id, n / 4 AS sim FROM (SELECT event_id, doc_id, count(DISTINCT word) AS n FROM em JOIN w USING (word) GROUP BY event_id, doc_id) JOIN d USING (doc_id) JOIN bi USING (event_id) WHERE day BETWEEN start AND "end"), tk AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_id, burst_id ORDER BY sim DESC, doc_id) AS INT) AS rank, round(sqrt(count(*) OVER (PARTITION BY event_id, burst_id))) AS k FROM sc) WHERE rank <= k)'
+
+
+def _scored(c: Corpus, members: DataFrame) -> DataFrame:
+    hit = retrieve.any_keyword(members, c.words).join(retrieve.in_bursts(given_bursts(members), c.docs), ["event_id", "doc_id"])
+    return hit.select("event_id", "burst_id", "doc_id", (F.col("n_words") / 4).alias("sim"))
+
+
+@query("topk_by_similarity", BASE + _TK + " SELECT event_id, burst_id, doc_id, sim, rank FROM tk")
+def topk_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return retrieve.top_k(_scored(c, members_of(c.strongest(TOP))))
+
+
+@query("fetch_headlines", BASE + _TK + " SELECT event_id, burst_id, rank, doc_id, name FROM tk JOIN d USING (doc_id)")
+def fetch_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    found = retrieve.top_k(_scored(c, members_of(c.strongest(TOP))))
+    return retrieve.fetch(found, c.docs.withColumn("name", text.headline(F.col("text"))), ["name"]).select("event_id", "burst_id", "rank", "doc_id", "name")
+
+
+@query("most_and_least_similar", BASE + _TK + " SELECT event_id, burst_id, first(doc_id ORDER BY sim DESC, doc_id) AS most_id, first(doc_id ORDER BY sim, doc_id) AS least_id FROM sc GROUP BY event_id, burst_id")
+def most_and_least_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return retrieve.extremes(_scored(c, members_of(c.strongest(TOP))))
+
+
+@query("centroid_document", "WITH x AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, k, avg(x) AS m FROM x GROUP BY label, k), f AS (SELECT label, vec_id, round(sqrt(sum((x - m) * (x - m))), 9) AS far FROM x JOIN m USING (label, k) GROUP BY label, vec_id) SELECT label, vec_id AS id, round(far, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY far, vec_id) AS r FROM f) WHERE r = 1")
+def centroid_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read_table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return retrieve.nearest_to_mean(v, "label").select("label", "id", F.round("distance", 5).alias("distance"))
+
+
+@query("event_majority_label", BASE + _TK + ", p AS (SELECT event_id, lang AS label, count(*) AS n FROM sc JOIN d USING (doc_id) GROUP BY event_id, lang) SELECT event_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, label) AS r FROM p) WHERE r = 1")
+def event_majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return retrieve.majority(_scored(c, members_of(c.strongest(TOP))), c.docs.select("doc_id", F.col("lang").alias("label")))
+
+
+@query("event_label_statistics", BASE + _TK + ", l AS (SELECT event_id, quality AS label FROM sc JOIN labels USING (doc_id)), c2 AS (SELECT event_id, label, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, label) AS r FROM l GROUP BY event_id, label) SELECT event_id, round(avg(l.label), 6) AS mean, round(stddev_pop(l.label), 6) AS std, quantile_cont(l.label, 0.5) AS median, any_value(c2.label) AS mode FROM l JOIN c2 USING (event_id) WHERE r = 1 GROUP BY event_id")
+def event_label_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    found = _scored(c, members_of(c.strongest(TOP))).join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return evaluate.label_statistics(found).select("event_id", r6("mean"), r6("std"), "median", "mode")
+
+
+@query("wmd_top_k")
+def wmd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = c.strongest(TOP)
+    m = members_of(own)
+    v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
+    found = retrieve.in_bursts(given_bursts(m), c.docs).select("event_id", "burst_id", "doc_id")
+    return retrieve.wmd_top_k(found, c.docs.select("doc_id", text.headline(F.col("text")).alias("name")), m.select("event_id", "word"), v)
+
+
+# --- summaries ------------------------------------------------------------------------------------------------------------
+
+_SN = _TK + ", ls AS (SELECT DISTINCT event_id, doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT event_id, doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM tk JOIN d USING (doc_id))), sn AS (SELECT event_id, doc_id * 10000 + i - 1 AS sent_id, list_filter(string_split_regex(line, '" + SPACE + "'), lambda x: x <> '') AS lemma FROM ls), st AS (SELECT *, len(lemma) AS n, list_filter(lemma, lambda x: length(x) BETWEEN 3 AND 15 AND lower(x) NOT IN (" + STOP + ")) AS content FROM sn WHERE len(lemma) > 5)"
+_TI = _SN + ", tf AS (SELECT event_id, sent_id, word, count(*) AS tf FROM (SELECT event_id, sent_id, unnest(lemma) AS word FROM st) GROUP BY ALL), df AS (SELECT event_id, word, count(*) AS df FROM tf GROUP BY ALL), ns AS (SELECT event_id, count(*) AS n FROM st GROUP BY event_id), rw AS (SELECT event_id, sent_id, word, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (event_id, word) JOIN ns USING (event_id)), ti AS (SELECT event_id, sent_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY event_id, sent_id)) AS w FROM rw)"
+_PC = ", pc AS (SELECT a.event_id, a.sent_id AS i, b.sent_id AS j, sum(a.w * b.w) AS v FROM ti a JOIN ti b ON a.event_id = b.event_id AND a.word = b.word AND a.sent_id < b.sent_id GROUP BY ALL)"
+_PT = ", cw AS (SELECT event_id, sent_id, n, unnest(list_distinct(content)) AS word FROM st), pt AS (SELECT a.event_id, a.sent_id AS i, b.sent_id AS j, count(*) / (ln(a.n) + ln(b.n)) AS v FROM cw a JOIN cw b ON a.event_id = b.event_id AND a.word = b.word AND a.sent_id < b.sent_id GROUP BY a.event_id, a.sent_id, b.sent_id, a.n, b.n)"
+_PK = ", kw AS (SELECT event_id, sent_id, word, w, n FROM ti JOIN em USING (event_id, word) JOIN st USING (event_id, sent_id)), pkk AS (SELECT a.event_id, a.sent_id AS i, b.sent_id AS j, sum(a.w) / (a.n + b.n) AS v FROM kw a JOIN kw b ON a.event_id = b.event_id AND a.word = b.word GROUP BY a.event_id, a.sent_id, b.sent_id, a.n, b.n)"
+GROUP = ("event_id",)
+
+
+def _sentences(c: Corpus, members: DataFrame) -> DataFrame:
+    found = retrieve.top_k(_scored(c, members)).select("event_id", "doc_id").distinct()
+    lines = retrieve.fetch(found, c.docs, ["text"]).select("event_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    own = lines.select("event_id", (F.col("doc_id") * 10000 + F.col("i")).alias("sent_id"), text.words(F.col("line")).alias("lemma"))
+    return own.where(F.size("lemma") > 5).withColumn("n", F.size("lemma")).withColumn("content", text.clean(F.col("lemma")))
+
+
+@query("sentence_tfidf", BASE + _TI + " SELECT event_id, sent_id, word, round(w, 6) AS w FROM ti")
+def sentence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return summarize.tfidf(_sentences(c, members_of(c.strongest(TOP))), GROUP).select("event_id", "sent_id", "word", r6("w"))
+
+
+@query("sentence_cosine", BASE + _TI + _PC + " SELECT event_id, i, j, round(v, 6) AS v FROM pc")
+def sentence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = summarize.tfidf(_sentences(c, members_of(c.strongest(TOP))), GROUP)
+    return summarize.cosine_pairs(own, GROUP).select("event_id", "i", "j", r6("v"))
+
+
+@query("textrank_similarity", BASE + _SN + _PT + " SELECT event_id, i, j, round(v, 6) AS v FROM pt")
+def textrank_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return summarize.textrank_pairs(_sentences(c, members_of(c.strongest(TOP))), GROUP).select("event_id", "i", "j", r6("v"))
+
+
+@query("keyword_similarity", BASE + _TI + _PK + " SELECT event_id, i, j, round(v, 6) AS v FROM pkk")
+def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    m = members_of(c.strongest(TOP))
+    own = _sentences(c, m)
+    return summarize.keyword_pairs(summarize.tfidf(own, GROUP), own, m.select("event_id", "word"), GROUP).select("event_id", "i", "j", r6("v"))
+
+
+@query("aggregated_similarity", BASE + _TI + _PC + _PT + _PK + ", al AS (SELECT event_id, i, j, pc.v * pt.v * pkk.v AS v FROM pc JOIN pt USING (event_id, i, j) JOIN pkk USING (event_id, i, j)) SELECT event_id, i, j, round((v - min(v) OVER x) / nullif(max(v) OVER x - min(v) OVER x, 0), 5) AS v FROM al WINDOW x AS (PARTITION BY event_id)")
+def aggregated_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    m = members_of(c.strongest(TOP))
+    own = _sentences(c, m)
+    w = summarize.tfidf(own, GROUP)
+    parts = [summarize.cosine_pairs(w, GROUP), summarize.textrank_pairs(own, GROUP), summarize.keyword_pairs(w, own, m.select("event_id", "word"), GROUP)]
+    return summarize.scaled_product(parts, GROUP).select("event_id", "i", "j", F.round("v", 5).alias("v"))
+
+
+@query("sentence_vectors", BASE + _SN + ", vx AS (SELECT word, k, x FROM (SELECT v.word, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM v CROSS JOIN vn JOIN embeddings e ON e.vec_id = v.word_id % vn.n)), ss AS (SELECT DISTINCT sent_id, lemma FROM st), sw AS (SELECT sent_id, unnest(lemma) AS word FROM ss), sv AS (SELECT sent_id, k, sum(x) AS x FROM sw JOIN vx USING (word) GROUP BY sent_id, k) SELECT sent_id, round(coalesce(sqrt(sum(x * x)), 0), 4) AS length FROM ss LEFT JOIN sv USING (sent_id) GROUP BY sent_id")
+def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = _sentences(c, members_of(c.strongest(TOP))).dropDuplicates(["sent_id"])
+    v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
+    return summarize.vector_sums(own, v, 64).select("sent_id", F.round(arrays.norm(F.col("vec")), 4).alias("length"))
+
+
+@query("unique_sentences", "WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1 AS sent_no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sent_no, row_number() OVER (PARTITION BY line ORDER BY doc_id, sent_no) AS r FROM l) WHERE r = 1 GROUP BY doc_id")
+def unique_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent_no", "lemma"))
+    return summarize.unique_sentences(lines).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("summary_lines", BASE + ", kw AS (SELECT event_id, list(word ORDER BY dps DESC, word) AS k FROM em GROUP BY event_id) SELECT event_id, burst_id, (event_id + 1) || ' - ' || array_to_string(k[1:8], ', ') || CASE WHEN len(k) > 8 THEN '...' ELSE '' END || chr(10) || 'burst ' || strftime(DATE '2014-01-01' + start, '%b %-d') || ' - ' || strftime(DATE '2014-01-01' + \"end\", '%b %-d, %Y') AS line FROM kw JOIN bi USING (event_id)")
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = members_of(corpus(spark, sf_dir).strongest(TOP))
+    keys = m.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dps")).alias("p"), "word"))), lambda x: x.word).alias("keywords"))
+    return summarize.summary_lines(keys, given_bursts(m).withColumn("n_docs", F.lit(1)), "2014-01-01")
+
+
+@query("summarize_bursts")
+def summarize_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    m = members_of(c.strongest(TOP))
+    v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
+    return summarize.summarize(_sentences(c, m).withColumn("burst_id", F.lit(0)), m.select("event_id", "word"), v)
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------
+
+
+_RE = ", re AS (SELECT CAST(item_id AS INT) AS real_id, CAST(item_id * 7 % 30 AS INT) AS day, list_distinct(list_filter(string_split_regex(text, '" + SPACE + "'), lambda x: x <> '')) AS words FROM benchmark), kw AS (SELECT event_id, list(word) AS k FROM em GROUP BY event_id), mt AS (SELECT kw.event_id, coalesce(min(real_id), -1) AS real_id FROM kw LEFT JOIN (SELECT kw.event_id, real_id FROM kw JOIN re ON list_has_any(k, words) JOIN bi ON bi.event_id = kw.event_id AND re.day BETWEEN start AND \"end\") x ON x.event_id = kw.event_id GROUP BY kw.event_id)"
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = members_of(corpus(spark, sf_dir).strongest(TOP))
+    real = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("real_id"), (F.col("item_id") * 7 % 30).cast("int").alias("day"), F.array_distinct(text.words(F.col("text"))).alias("words"))
+    return evaluate.match_events(m.groupBy("event_id").agg(F.collect_list("word").alias("keywords")), given_bursts(m), real)
+
+
+@query("match_events", BASE + _RE + " SELECT event_id, real_id FROM mt")
+def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir)
+
+
+@query("prf_automatic", BASE + _RE + ", q AS (SELECT sum(CASE WHEN real_id >= 0 THEN 1 ELSE 0 END) / count(*) AS p, count(DISTINCT CASE WHEN real_id >= 0 THEN real_id END) / 49 AS r FROM mt) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM q")
+def prf_automatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.scores(_matched(spark, sf_dir), 49).select(r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("redundancy", "SELECT round(1 - count(DISTINCT source) / count(*), 6) AS redundancy FROM documents")
+def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.redundancy(read_table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"))).select(r6("redundancy"))
+
+
+@query("noisiness", "SELECT round(avg(1 - quality), 6) AS noisiness FROM labels")
+def noisiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.noisiness(read_table(spark, sf_dir, "labels").select((F.col("quality") == 0).alias("noisy"))).select(r6("noisiness"))
+
+
+@query("purity", BASE + _TK + ", p AS (SELECT event_id, source, count(*) AS n FROM sc JOIN d USING (doc_id) GROUP BY event_id, source) SELECT round(sum(b) / sum(n), 6) AS purity FROM (SELECT event_id, max(n) AS b, sum(n) AS n FROM p GROUP BY event_id)")
+def purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return evaluate.purity(_scored(c, members_of(c.strongest(TOP))).join(c.docs.select("doc_id", F.col("source").alias("label")), "doc_id")).select(r6("purity"))
+
+
+@query("event_statistics", BASE + ", p AS (SELECT event_id, count(*) AS n FROM em JOIN w USING (word) GROUP BY event_id) SELECT count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n_words, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, max(n) AS most FROM p")
+def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = evaluate.statistics(members_of(c.strongest(TOP)).join(c.words, "word"))
+    return own.select("n_events", "n_words", r6("mean"), r6("std"), "least", "q25", "q50", "q75", "most")
+
+
+# --- the older detector ---------------------------------------------------------------------------------------------------
+
+_OB = ", bd AS (SELECT day, count(*) AS n_docs FROM d GROUP BY day), bn AS (SELECT round_even(avg(n_docs), 0) AS n FROM bd), wd AS (SELECT word, day, count(DISTINCT doc_id) AS c FROM w JOIN v USING (word) GROUP BY word, day), ob AS (SELECT word, day, c, n_docs, CAST(round_even(c / (n_docs / n), 0) AS BIGINT) AS c_norm, c / n_docs AS p_o, avg(c / n_docs) OVER (PARTITION BY word) AS p_j, CAST(n AS BIGINT) AS n FROM wd JOIN bd USING (day) CROSS JOIN bn)"
+_PB = _OB + ", pb AS (SELECT word, day, CASE WHEN c_norm > r THEN 1.0 WHEN c_norm < r AND round(p_o, 12) > round(p_j, 12) THEN 1 / (1 + exp(-(c_norm - (r + p_j * n) / 2))) ELSE 0.0 END AS p_b FROM (SELECT *, CAST(floor(round(p_j * n * 1.5 + 2, 6)) AS BIGINT) AS r FROM ob))"
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    c = corpus(spark, sf_dir)
+    counts = c.words.join(c.vocab.select("word"), "word").groupBy("word", "day").agg(F.countDistinct("doc_id").alias("c"))
+    return c, binomial.observed(counts, c.docs.groupBy("day").agg(F.count("*").alias("n_docs")))
+
+
+def _bursty(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    c, obs = _observed(spark, sf_dir)
+    limits = obs.groupBy("word").agg(F.floor(F.round(F.first(F.col("p_j") * F.col("n")) * 1.5 + 2, 6)).alias("r_c"))
+    return c, binomial.burstiness(obs, limits)
+
+
+@query("binomial_observed", BASE + _OB + " SELECT word, day, c, n_docs, c_norm, round(p_o, 6) AS p_o, round(p_j, 6) AS p_j, n FROM ob")
+def binomial_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(spark, sf_dir)[1].select("word", "day", "c", "n_docs", "c_norm", r6("p_o"), r6("p_j"), "n")
+
+
+@query("burst_sigmoid", BASE + _PB + " SELECT word, day, round(p_b, 6) AS p_b FROM pb")
+def burst_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bursty(spark, sf_dir)[1].select("word", "day", r6("p_b"))
+
+
+@query("bursty_by_mean", BASE + _PB + f", pm AS (SELECT word, sum(p_b) / {DAYS} AS m FROM pb GROUP BY word) SELECT word, round(m, 6) AS m FROM pm WHERE m > 2 * (SELECT avg(m) FROM pm)")
+def bursty_by_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binomial.bursty_by_mean(_bursty(spark, sf_dir)[1], DAYS, 2.0).select("word", r6("m"))
+
+
+@query("bursty_by_run", BASE + _PB + f", a AS (SELECT word, day, day - row_number() OVER (PARTITION BY word ORDER BY day) AS i FROM pb WHERE p_b > 0) SELECT word, min(day) AS first, max(day) AS last, count(*) AS n FROM a GROUP BY word, i HAVING min(day) > 0 AND max(day) < {DAYS - 1} AND count(*) >= 2")
+def bursty_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.runs_of_days(_bursty(spark, sf_dir)[1].where("p_b > 0").select("word", "day"), "word", 2, True, DAYS)
+
+
+@query("event_probability", BASE + _PB + ", z AS (SELECT event_id, count(*) AS size FROM em GROUP BY event_id), y AS (SELECT event_id, day, min(p_b) AS lo, sum(p_b) AS s, count(*) AS k FROM pb JOIN em USING (word) GROUP BY event_id, day) SELECT event_id, round(sum(CASE WHEN k = size THEN lo ELSE 0 END) / nullif(sum(s), 0), 6) AS p FROM y JOIN z USING (event_id) GROUP BY event_id")
+def event_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, p_b = _bursty(spark, sf_dir)
+    return binomial.event_probability(p_b, members_of(c.strongest(TOP)).select("event_id", "word")).select("event_id", r6("p"))
+
+
+@query("document_likelihood", BASE + ", sz AS (SELECT word, count(DISTINCT doc_id) AS size FROM w JOIN ev USING (word) GROUP BY word), un AS (SELECT event_id, count(DISTINCT doc_id) AS m FROM em JOIN w USING (word) GROUP BY event_id), al AS (SELECT sum(ln(1 - size / (SELECT n FROM nd))) AS rest FROM sz) SELECT event_id, round(sum(ln(size / m)) + any_value(rest) - sum(ln(1 - size / (SELECT n FROM nd))), 5) AS ll FROM em JOIN sz USING (word) JOIN un USING (event_id), al GROUP BY event_id")
+def document_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    m = members_of(c.strongest(TOP)).select("event_id", "word")
+    hit = c.words.join(F.broadcast(m), "word")
+    sizes = hit.groupBy("word").agg(F.countDistinct("doc_id").alias("size"))
+    union = hit.groupBy("event_id").agg(F.countDistinct("doc_id").alias("m"))
+    return binomial.document_likelihood(sizes, m, union, c.docs.count()).select("event_id", F.round("ll", 5).alias("ll"))
+
+
+@query("overlapping_runs", BASE + _RUNS + ", x AS (SELECT word_id * 100 + first AS run_id, first, last FROM r WHERE n >= 6 AND word_id IN (SELECT word_id FROM ev)) SELECT a.run_id AS a, b.run_id AS b, round(greatest(0, least(a.last, b.last) - greatest(a.first, b.first)) / greatest(a.last - a.first, b.last - b.first), 6) AS overlap FROM x a JOIN x b ON a.run_id < b.run_id WHERE greatest(0, least(a.last, b.last) - greatest(a.first, b.first)) / greatest(a.last - a.first, b.last - b.first) > 0.5")
+def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = c.strongest(TOP).select("word_id")
+    active = c.vocab.join(own, "word_id", "left_semi").select("word_id", F.explode("by_day").alias("day", "c"))
+    runs = co.runs_of_days(active.select("word_id", "day"), "word_id", 6, False).select((F.col("word_id") * 100 + F.col("first")).alias("run_id"), "first", "last")
+    return binomial.overlapping_runs(runs, 0.5).select("a", "b", r6("overlap"))
+
+
+@query("binomial_thresholds")
+def binomial_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binomial.thresholds(_observed(spark, sf_dir)[1].select("word", "n", "p_j").distinct())
+
+
+@query("binomial_probabilities")
+def binomial_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binomial.probabilities(_observed(spark, sf_dir)[1])
+
+
+# --- vectors, topics, clusters ------------------------------------------------------------------------------------------
+
+
+@query("argmax_dimension", "SELECT vec_id AS id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS cluster FROM embeddings")
+def argmax_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.strongest_dimension(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+
+
+@query("most_similar_vectors", "WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT b.id, round(list_cosine_similarity(b.v, a.v), 5) AS sim FROM x a, x b WHERE a.id = 7 AND b.id <> 7 ORDER BY round(list_cosine_similarity(b.v, a.v), 9) DESC, b.id LIMIT 10")
+def most_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return topics.most_similar(v, 7, 10).select("id", F.round("sim", 5).alias("sim"))
+
+
+@query("top_terms_by_language", BASE + ", tt AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(string_split_regex(text, '" + SPACE + "')) AS word FROM d) WHERE word <> '' GROUP BY lang, word) SELECT lang, word, c, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) AS rank FROM tt) WHERE rank <= 20")
+def top_terms_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus(spark, sf_dir).docs.select("lang", text.words(F.col("text")).alias("tokens"))
+    return topics.top_terms(own, "lang").select("lang", "word", "c", "rank")
+
+
+@query("document_tfidf", BASE + ", b AS (SELECT DISTINCT doc_id, word FROM w JOIN v USING (word)), f AS (SELECT word, count(*) AS df FROM b GROUP BY word) SELECT doc_id, word, round(ln((n + 1) / (df + 1)) + 1, 6) AS w FROM b JOIN f USING (word), nd")
+def document_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    own = c.words.join(c.vocab.select("word"), "word").select("doc_id", "word").distinct()
+    df = own.groupBy("word").agg(F.count("*").alias("df"))
+    n = c.docs.agg(F.count("*").alias("n"))
+    return own.join(df, "word").crossJoin(F.broadcast(n)).select("doc_id", "word", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("w"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = read_table(spark, sf_dir, "documents").select("doc_id", text.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return topics.count_vectors(tokens, min_df=MIN_DF, size=4096)[0].select("doc_id", "tokens", "features")
+
+
+@query("word2vec")
+def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = read_table(spark, sf_dir, "documents").select("doc_id", text.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return topics.word_vectors(tokens, size=16, rounds=1)[0]
+
+
+@query("document_vectors")
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = read_table(spark, sf_dir, "documents").select("doc_id", text.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return topics.document_vectors(tokens, topics.word_vectors(tokens, size=16, rounds=1)[1])
+
+
+@query("lda_topics")
+def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.lda_topics(_counted(spark, sf_dir), k=5, rounds=3)[0]
+
+
+@query("lsi_topics")
+def lsi_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.lsi_vectors(topics.tfidf_vectors(_counted(spark, sf_dir)), k=5)
+
+
+@query("nmf_topics")
+def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.nmf(topics.tfidf_vectors(_counted(spark, sf_dir)), k=5, rounds=3)[0]
+
+
+@query("kmeans_documents")
+def kmeans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.kmeans(topics.tfidf_vectors(_counted(spark, sf_dir)), k=15)
+
+
+@query("spherical_kmeans")
+def spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return topics.kmeans(topics.as_ml(v), k=8, cosine=True)
