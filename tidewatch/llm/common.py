@@ -26,14 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; unlike checkpoint() it computes df once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that texts travel in: ten thousand texts, Spark's default, would fill some 100 MB on either side.
+BATCH_ROWS = 1000
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches; smaller bounds stay."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps (it acts on the driver's garbage)."""
     import gc
@@ -147,7 +159,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rolling.of(starts, ends) ^ mix64((ends - starts).astype(np.uint64)), starts, ends
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes each, one text at least."""
     first, total = 0, 0
     for i, t in enumerate(texts):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, keyed_stream, materialize, mix64, read_table, word_hashes
+from .common import chunks, keyed_stream, lean_batches, materialize, mix64, read_table, word_hashes
 
 BITS = 64
 
@@ -66,7 +66,7 @@ def fingerprint_chain(docs: DataFrame, bins: int | None = None) -> DataFrame:
     its own; one row more, the first of the following range, closes each.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    own = lean_batches(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     n = bins or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [i / n for i in range(1, n)], 0.002))) if n > 1 else []
     above = F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, encoded, materialize, read_table, word_hashes
+from .common import WORD, encoded, lean_batches, materialize, read_table, word_hashes
 from .permute import feistel
 
 #: A mix has a weight for each source; more than so many would be data, not a configuration.
@@ -150,7 +150,7 @@ def mixed_documents(docs: DataFrame, block: int | None = None, seed: int = 11) -
     """documents -> documents as the mix takes them: a row for each document and epoch (pass over its source) of which it has
     words, with those words; a text taken as a whole stays as it is, else the taken ranges are joined by a space."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = docs.select(*names)
+    docs = lean_batches(docs).select(*names)
     plan, placed, segments = mix(measure(docs), block, seed)
     ranges = segments.groupBy("src", "start", "epoch").agg(F.collect_list(F.struct("at", "length")).alias("ranges"))
     taken = placed.where("size > 0").join(ranges, ["src", "start"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "epoch", "ranges")).alias("takes"))

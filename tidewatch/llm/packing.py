@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import lean_batches, materialize, read_table
 from .tokens import crc32, default_paths, token_ids
 
 CAPACITY = 2048
@@ -233,7 +233,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str]
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy()[out.pop("row").to_numpy()] if pdf["doc_id"].notna().all() else pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).to_numpy()[out.pop("row").to_numpy()])
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return lean_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None, **evolution: int) -> DataFrame:

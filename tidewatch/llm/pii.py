@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean_batches, read_table
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -348,7 +348,7 @@ def find_pii(docs: DataFrame, table_rows: int = 600) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return lean_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, chunks, encoded, materialize, mix64, read_table, word_hashes
+from .common import _SPACE, chunks, encoded, lean_batches, materialize, mix64, read_table, word_hashes
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -134,7 +134,7 @@ def quality(docs: DataFrame, reach: float = 8.0, least: int = 50) -> DataFrame:
     Null and empty texts have no words and so fail; null languages and sources are groups of their own; repeated rows are
     judged alike; a null doc_id stays null; other columns are ignored, whatever their names.
     """
-    counted = docs.select("doc_id", "lang", "source", count_column(F.coalesce(F.col("text"), F.lit(""))).alias("_q"))
+    counted = lean_batches(docs).select("doc_id", "lang", "source", count_column(F.coalesce(F.col("text"), F.lit(""))).alias("_q"))
     out = judged(materialize(counted, "quality-counts"), reach, least)
     return out.select("doc_id", *(F.col(f"_q.{c}").alias(c) for c in COUNTS), "base_failed", "kept")
 
@@ -142,7 +142,7 @@ def quality(docs: DataFrame, reach: float = 8.0, least: int = 50) -> DataFrame:
 def keep_good(docs: DataFrame, reach: float = 8.0, least: int = 50) -> DataFrame:
     """The documents that quality() keeps, with their columns doc_id, text, lang, source and n_chars."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    counted = docs.select(*names, count_column(F.coalesce(F.col("text"), F.lit(""))).alias("_q"))
+    counted = lean_batches(docs).select(*names, count_column(F.coalesce(F.col("text"), F.lit(""))).alias("_q"))
     return judged(materialize(counted, "quality-counts"), reach, least).where("kept").select(*names)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_symbols, chunks, encoded, keyed_stream, materialize, mix64, row_keys, word_hashes
+from .common import Rolling, byte_symbols, chunks, encoded, keyed_stream, lean_batches, materialize, mix64, row_keys, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 #: Units of one text that are anchored at a time.
@@ -125,13 +125,19 @@ def _contexts(unit: Unit, windows: bool) -> Callable[[Iterator[pd.DataFrame]], I
 
 def window_hashes(frame: pd.DataFrame, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the frame, distance, hash) of every window that picks one of the frame's anchors, by row and distance."""
-    symbols, offsets = unit.symbols(list(frame["around"]))
+    around, at = list(frame["around"]), frame["at"].to_numpy()
     near, far = frame["dd"].to_numpy() >> 16, frame["dd"].to_numpy() & 0xFFFF
     count = (far - near + 1).astype(np.int64)
-    owner = np.repeat(np.arange(len(frame)), count)
-    d = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[owner]
-    start = (offsets[:-1] + frame["at"].to_numpy())[owner] - d
-    return owner, d, Rolling(symbols).of(start, start + unit.window)
+    owner = np.repeat(np.arange(len(frame), dtype=np.int32), count)
+    begin = np.r_[0, np.cumsum(count)]
+    d = (np.arange(begin[-1]) - begin[owner] + near[owner]).astype(np.int32)
+    h = np.empty(begin[-1], dtype=np.uint64)
+    for lo, hi in chunks(around):
+        symbols, offsets = unit.symbols(around[lo:hi])
+        part = slice(begin[lo], begin[hi])
+        start = (offsets[:-1] + at[lo:hi])[owner[part] - lo] - d[part]
+        h[part] = Rolling(symbols).of(start, start + unit.window)
+    return owner, d, h
 
 
 def runs(owner: np.ndarray, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +154,7 @@ def runs(owner: np.ndarray, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarra
 def repeated_spans(docs: DataFrame, unit: Unit, match: Callable[[pd.DataFrame, Unit], np.ndarray]) -> DataFrame:
     """(_k1, _k2, spans): for each document (see row_keys) the ranges of its units, as start << 32 | end, that windows
     occurring twice or more cover. match(frame, unit): which of window_hashes(frame) occur in two or more rows of a key."""
-    texts = docs.select(*row_keys(), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    texts = lean_batches(docs).select(*row_keys(), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     anchors = texts.mapInPandas(_anchor_rows(unit), "key long, cls long, _k1 long, _k2 int, pos int, dd int")
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("n > 1")
     shared = materialize(anchors.join(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "key"), "anchors")

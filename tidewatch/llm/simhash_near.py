@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, keyed_stream, materialize, mix64, read_table, row_keys
+from .common import encoded, keyed_stream, lean_batches, materialize, mix64, read_table, row_keys
 from .components import components
 
 SEED = 42
@@ -126,7 +126,7 @@ def near_groups(docs: DataFrame, radius: int = 3, keys: bool = False) -> DataFra
     stays null and is never a component_id, unless no member has one (then it is null); other columns are ignored.
     """
     extra = row_keys() if keys else []
-    own = materialize(docs.select("doc_id", fingerprint_column(F.coalesce(F.col("text"), F.lit(""))).alias("fp"), *extra), "fingerprints")
+    own = materialize(lean_batches(docs).select("doc_id", fingerprint_column(F.coalesce(F.col("text"), F.lit(""))).alias("fp"), *extra), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(near_links(fps.select("fp"), radius))
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("fp"), F.col("v").alias("group")).distinct())
