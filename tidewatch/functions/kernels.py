@@ -32,7 +32,7 @@ def moving_average(y: np.ndarray, window: int) -> np.ndarray:
 
 def cutoff(y: np.ndarray, window: int = 7) -> float:
     ma = moving_average(y, window)
-    return float(ma.mean() + ma.std())
+    return float((ma.mean() + ma.std()) * (1 + 1e-12))  # rounding must not lift a flat row above its own mean
 
 
 def normal_pdf(x: np.ndarray, loc: float, scale: float) -> np.ndarray:
