@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import lean_batches, materialize, read_table
 from .permute import feistel
 from .tokens import crc32, default_paths, token_ids
 
@@ -25,6 +26,8 @@ def _sequences(texts: Iterator[pd.DataFrame], length: int, paths: tuple[str, str
         doc = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
         for i, text in zip(doc, pdf["text"], strict=True):
             own = np.append(token_ids(text, paths), np.uint32(END)).astype("<u4")
+            if own.max() > 0xFFFF:
+                raise ValueError("a token id beyond 16 bits")
             at = 0
             while at < len(own):
                 part = own[at : at + length - have]
@@ -39,44 +42,27 @@ def _sequences(texts: Iterator[pd.DataFrame], length: int, paths: tuple[str, str
         yield np.concatenate(ids), owners
 
 
-def training_order(docs: DataFrame, length: int = 1024, per_shard: int = 4096, key: int = 20, paths: tuple[str, str] | None = None) -> DataFrame:
+def training_order(docs: DataFrame, length: int = 1024, per_shard: int = 1024, key: int = 20, paths: tuple[str, str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> shard, slot, offset, n_tokens, n_docs, first_doc_id, last_doc_id, ids_crc32, payload: every
     sequence at its place in the training order, as a table in the shared folder, sorted by slot within its shard.
 
-    Sequence i of all n goes to slot feistel(i, n, key). payload has exactly `length` little-endian 16-bit ids (32-bit ones
-    where the vocabulary needs them), short sequences padded with the end token, so slot s lies at offset
+    Sequence i of all n goes to slot feistel(i, n, key). payload has exactly `length` little-endian 16-bit ids (a
+    larger id raises), short sequences padded with the end token, so slot s lies at offset
     (s mod per_shard) * stride of shard s div per_shard and can be read from any slot on. Null and empty texts are an end
     token alone; repeated rows are kept; null doc_ids stay null; an empty table gives no shards; other columns are ignored.
 
-    Ids are made twice, once to count sequences and once to write them, rather than kept between: that halves the disk. The
-    second pass checks that each partition has as many sequences as the first one counted.
+    Ids are made once and kept with their place in their partition; when all are counted, each sequence gets its slot.
     """
-    spark = docs.sparkSession
     paths = paths or default_paths()
-    own = docs.select("doc_id", "text")
+    own = lean_batches(docs).select("doc_id", "text")
+    kind = dict(own.dtypes)["doc_id"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in batches:
-            n += sum(len(token_ids(t, paths)) + 1 for t in pdf["text"])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-n // length)]})
-
-    counted = {r.part: r.n for r in own.mapInPandas(count, "part int, n long").collect()}  # a row for each partition
-    before, total = {}, 0
-    for part in sorted(counted):
-        before[part] = total
-        total += counted[part]
-    schema = f"slot long, n_tokens int, n_docs int, first_doc_id {dict(own.dtypes)['doc_id']}, last_doc_id {dict(own.dtypes)['doc_id']}, ids_crc32 long, payload binary"
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        made, held = 0, []
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, made, held = TaskContext.get().partitionId(), 0, []
 
         def frame() -> pd.DataFrame:
-            slot = feistel(before[part] + np.arange(made - len(held), made), total, key)
-            docs_of = [list(dict.fromkeys(o)) for _, o in held]
             pad = [np.pad(ids, (0, length - len(ids)), constant_values=END) for ids, _ in held]
-            return pd.DataFrame({"slot": slot, "n_tokens": [len(i) for i, _ in held], "n_docs": [len(d) for d in docs_of], "first_doc_id": pd.Series([o[0] for _, o in held], dtype=object), "last_doc_id": pd.Series([o[-1] for _, o in held], dtype=object), "ids_crc32": [crc32(i) for i, _ in held], "payload": [p.astype("<u2").tobytes() for p in pad]})
+            return pd.DataFrame({"part": part, "local": np.arange(made - len(held), made), "n_tokens": [len(i) for i, _ in held], "n_docs": [len(o) for _, o in held], "first_doc_id": pd.Series([o[0] for _, o in held], dtype=object), "last_doc_id": pd.Series([o[-1] for _, o in held], dtype=object), "ids_crc32": [crc32(i) for i, _ in held], "payload": [p.astype("<u2").tobytes() for p in pad]})
 
         for sequence in _sequences(batches, length, paths):
             held.append(sequence)
@@ -86,12 +72,21 @@ def training_order(docs: DataFrame, length: int = 1024, per_shard: int = 4096, k
                 held = []
         if held:
             yield frame()
-        if made != counted.get(part, 0):
-            raise RuntimeError(f"partition {part} has {made} sequences, {counted.get(part, 0)} were counted: the input changed")
 
-    shard = F.expr(f"cast(slot div {per_shard} as int)")
-    placed = own.mapInPandas(write, schema).withColumn("shard", shard).withColumn("offset", F.expr(f"(slot % {per_shard}) * {2 * length}"))
-    return materialize(placed.repartition("shard").sortWithinPartitions("shard", "slot"), "shards")
+    schema = f"part int, local long, n_tokens int, n_docs int, first_doc_id {kind}, last_doc_id {kind}, ids_crc32 long, payload binary"
+    sequences = materialize(own.mapInPandas(cut, schema), "sequences", "zstd")
+    counted = {r.part: r.n for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    parts = np.array(sorted(counted), dtype=np.int64)
+    sizes = np.array([counted[p] for p in parts.tolist()], dtype=np.int64)
+    before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+
+    @F.pandas_udf(T.LongType())
+    def slot_of(part: pd.Series, local: pd.Series) -> pd.Series:
+        return pd.Series(feistel(before[np.searchsorted(parts, part.to_numpy())] + local.to_numpy(), total, key))
+
+    placed = sequences.withColumn("slot", slot_of("part", "local")).drop("part", "local")
+    placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).withColumn("offset", F.expr(f"(slot % {per_shard}) * {2 * length}"))
+    return materialize(placed.repartition("shard").sortWithinPartitions("shard", "slot"), "shards", "zstd")
 
 
 def read_from(shards: DataFrame, slot: int, until: int | None = None) -> DataFrame:
