@@ -157,7 +157,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, match: Callable[[pd.DataFrame, U
     texts = lean_batches(docs).select(*row_keys(), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     anchors = texts.mapInPandas(_anchor_rows(unit), "key long, cls long, _k1 long, _k2 int, pos int, dd int")
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("n > 1")
-    shared = materialize(anchors.join(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "key"), "anchors")
+    # A table of its own, so that the join deals both sides by itself and AQE can split the anchors of a hot key.
+    keys = materialize(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "keys")
+    shared = materialize(anchors.join(keys, "key"), "anchors")
     mixed = shared.where("not alike")
     classes = mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos", "dd")).alias("r"))
     hot = classes.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > unit.hot).select("key")
