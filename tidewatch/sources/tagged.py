@@ -92,7 +92,7 @@ def token_documents(docs: DataFrame, forms: bool = False, tags: Sequence[str] =
 def sentence_documents(docs: DataFrame) -> DataFrame:
     """doc_id, sent_no, form, lemma, pos (arrays): every sentence, tags unfiltered."""
     s = docs.select("doc_id", F.posexplode("sentences").alias("sent_no", "s"))
-    return s.select("doc_id", "sent_no", *(F.transform("s", lambda t, c=c: t[c]).alias(c) for c in ("form", "lemma", "pos")))
+    return s.select("doc_id", "sent_no", *(F.col(f"s.{c}").alias(c) for c in ("form", "lemma", "pos")))
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
