@@ -67,7 +67,7 @@ MEASURES = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.05),
     "word_length": ("word_chars / greatest(n_words, 1)", 2.0),
     "dup_line_share": ("n_dup_lines / greatest(n_words, 1)", 0.05),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.25),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.35),
 }
 BELOW = ("word_length",)
 
