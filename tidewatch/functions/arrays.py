@@ -18,11 +18,6 @@ def std_pop(x: Column) -> Column:
     return F.sqrt(F.try_divide(total(F.transform(x, lambda v: v * v)), F.size(x)) - mean(x) * mean(x))
 
 
-def std_pop_exact(x: Column, m: Column) -> Column:
-    """Two passes: around a mean already at hand."""
-    return F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(x)))
-
-
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -45,24 +40,19 @@ def moving_average(x: Column, window: int) -> Column:
     return F.transform(ends, lambda i: total(F.slice(x, i - window + 1, window)) / window)
 
 
-def cutoff(x: Column, window: int, deviations: float = 1.0) -> Column:
-    ma = moving_average(x, window)
-    return mean(ma) + deviations * std_pop_exact(ma, mean(ma))
-
-
 def trim(x: Column, bound: Column) -> Column:
     """Zero where a value does not exceed the bound."""
     return F.transform(x, lambda v: F.when(v > bound, v).otherwise(0.0))
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """KL divergence in bits after scaling both to sum 1; infinite where q is 0 and p is not; null for a zero vector."""
-    sp, sq = total(p), total(q)
+def divergence(p: Column, q: Column, sp: Column, sq: Column) -> Column:
+    """KL divergence in bits after scaling both by their sums; infinite where q is 0 and p is not; null for a zero vector. The
+    sums are columns of their own, as an expression within the lambda would be worked out for every element."""
     term = lambda a, b: F.when(a == 0, 0.0).when(b == 0, F.lit(float("inf"))).otherwise((a / sp) * F.log2((a / sp) / (b / sq)))
     return F.when((sp > 0) & (sq > 0), total(F.zip_with(p, q, term)))
 
 
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """In bits, with the mixture taken before scaling (as event detection by clusters does)."""
-    m = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-    return (divergence(p, m) + divergence(q, m)) / 2
+def jensen_shannon(p: Column, q: Column, sp: Column, sq: Column) -> Column:
+    """In bits, with the mixture taken before scaling (as event detection by clusters does), in one pass."""
+    half = lambda a, b, s: F.when(a == 0, 0.0).otherwise((a / s) * F.log2((a / s) / ((a + b) / (sp + sq))))
+    return F.when((sp > 0) & (sq > 0), total(F.zip_with(p, q, lambda a, b: half(a, b, sp) + half(b, a, sq))) / 2)

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays, kernels, text
 
@@ -88,6 +89,21 @@ def spectrum(traj: DataFrame, keep: Sequence[str] = ("word_id",)) -> DataFrame:
     return traj.select(*dict.fromkeys([*names, "y"])).mapInPandas(run, schema)
 
 
+def cutoffs(window: int = 7, deviations: float = 1.0):
+    """A function of trajectory columns: mean plus `deviations` population deviations of the moving average, for a whole Arrow
+    batch at a time. (As nested array expressions it would be worked out anew for every element that it is compared with.)"""
+
+    @F.pandas_udf(T.DoubleType())
+    def of(y: pd.Series) -> pd.Series:
+        if not len(y):
+            return pd.Series([], dtype=float)
+        sums = np.cumsum(np.pad(np.stack(y.to_numpy()), ((0, 0), (1, 0))), axis=1)
+        ma = (sums[:, window:] - sums[:, :-window]) / window
+        return pd.Series((ma.mean(1) + deviations * ma.std(1)) * (1 + 1e-12))
+
+    return of
+
+
 def eventful(spec: DataFrame, bound: float) -> DataFrame:
     return spec.where(F.col("dps") > bound)
 

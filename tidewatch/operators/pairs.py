@@ -17,6 +17,14 @@ def pairs(words: DataFrame, keep: list[str]) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j"))
 
 
+def _summed(words: DataFrame) -> DataFrame:
+    return words.withColumn("s", arrays.total(F.col("y")))
+
+
+def _jsd() -> Column:
+    return arrays.jensen_shannon(F.col("a_y"), F.col("b_y"), F.col("a_s"), F.col("b_s"))
+
+
 def doc_overlap(words: DataFrame, occurrences: DataFrame) -> DataFrame:
     """i, j, both, overlap: units with both words over those of the rarer one; pairs that never meet are left out."""
     own = occurrences.join(F.broadcast(words.select("word", "word_id", "df")), "word").select("unit_id", "word_id", "df")
@@ -28,13 +36,14 @@ def doc_overlap(words: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def kl_pairs(words: DataFrame) -> DataFrame:
     """i, j, kl_ij, kl_ji, divergence: the larger of both KL divergences in bits."""
-    p = pairs(words, ["y"])
-    p = p.select("i", "j", arrays.divergence(F.col("a_y"), F.col("b_y")).alias("kl_ij"), arrays.divergence(F.col("b_y"), F.col("a_y")).alias("kl_ji"))
+    p = pairs(_summed(words), ["y", "s"])
+    a, b, s, z = (F.col(c) for c in ("a_y", "b_y", "a_s", "b_s"))
+    p = p.select("i", "j", arrays.divergence(a, b, s, z).alias("kl_ij"), arrays.divergence(b, a, z, s).alias("kl_ji"))
     return p.withColumn("divergence", F.greatest("kl_ij", "kl_ji"))
 
 
 def jsd_pairs(words: DataFrame) -> DataFrame:
-    return pairs(words, ["y"]).select("i", "j", arrays.jensen_shannon(F.col("a_y"), F.col("b_y")).alias("jsd"))
+    return pairs(_summed(words), ["y", "s"]).select("i", "j", _jsd().alias("jsd"))
 
 
 def with_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -58,8 +67,8 @@ def vector_pairs(words: DataFrame) -> DataFrame:
 
 def cluster_distance(words: DataFrame) -> DataFrame:
     """i, j, d: Jensen-Shannon divergence of trajectories times distance of vectors; unknown ones are FAR apart."""
-    p = pairs(words, ["y", "vec"])
-    d = arrays.jensen_shannon(F.col("a_y"), F.col("b_y")) * arrays.distance(F.col("a_vec"), F.col("b_vec"))
+    p = pairs(_summed(words), ["y", "s", "vec"])
+    d = _jsd() * arrays.distance(F.col("a_vec"), F.col("b_vec"))
     return p.select("i", "j", F.least(F.coalesce(F.nanvl(d, F.lit(FAR)), F.lit(FAR)), F.lit(FAR)).alias("d"))
 
 

@@ -192,13 +192,13 @@ _MA = "SELECT word_id, day, y, avg(y) OVER (PARTITION BY word_id ORDER BY day RO
 
 @query("trajectory_cutoff", BASE + f"SELECT word_id, round(avg(m) + stddev_pop(m), 6) AS cut FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id")
 def trajectory_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).traj.select("word_id", r6(arrays.cutoff(F.col("y"), 7), "cut"))
+    return corpus(spark, sf_dir).traj.select("word_id", r6(co.cutoffs(7)("y"), "cut"))
 
 
 @query("plot_cutoff", BASE + f"SELECT word_id, round(a, 6) AS cut_3, round(b, 6) AS cut_7 FROM (SELECT word_id, avg(m) + 0.5 * stddev_pop(m) AS a FROM ({_MA.format(b=2)}) WHERE day >= 2 GROUP BY word_id) JOIN (SELECT word_id, avg(m) + 0.5 * stddev_pop(m) AS b FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id) USING (word_id)")
 def plot_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("y")
-    return corpus(spark, sf_dir).traj.select("word_id", r6(arrays.cutoff(y, 3, 0.5), "cut_3"), r6(arrays.cutoff(y, 7, 0.5), "cut_7"))
+    return corpus(spark, sf_dir).traj.select("word_id", r6(co.cutoffs(3, 0.5)(y), "cut_3"), r6(co.cutoffs(7, 0.5)(y), "cut_7"))
 
 
 @query("burst_filter", BASE + f"SELECT word_id, day, round(CASE WHEN y > cut THEN y ELSE 0 END, 6) AS y FROM t JOIN (SELECT word_id, avg(m) + stddev_pop(m) AS cut FROM ({_MA.format(b=6)}) WHERE day >= 6 GROUP BY word_id) USING (word_id)")
@@ -244,7 +244,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("plot_series", BASE + LISTS + "SELECT word_id, day, round(et.y, 6) AS y, round(cut, 6) AS cut, round(tr.y, 6) AS burst FROM et JOIN cu USING (word_id) JOIN tr USING (word_id, day)")
 def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP).withColumn("cut", arrays.cutoff(F.col("y"), 7))
+    own = corpus(spark, sf_dir).strongest(TOP).withColumn("cut", co.cutoffs(7)("y"))
     own = own.select("word_id", "cut", F.posexplode(F.arrays_zip("y", arrays.trim(F.col("y"), F.col("cut")).alias("b"))).alias("day", "s"))
     return own.select("word_id", "day", r6(F.col("s.y"), "y"), r6("cut"), r6(F.col("s.b"), "burst"))
 
@@ -538,7 +538,8 @@ def _sentences(c: Corpus, members: DataFrame) -> DataFrame:
     found = retrieve.top_k(_scored(c, members)).select("event_id", "doc_id").distinct()
     lines = retrieve.fetch(found, c.docs, ["text"]).select("event_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     own = lines.select("event_id", (F.col("doc_id") * 10000 + F.col("i")).alias("sent_id"), text.words(F.col("line")).alias("lemma"))
-    return own.where(F.size("lemma") > 5).withColumn("n", F.size("lemma")).withColumn("content", text.clean(F.col("lemma")))
+    own = own.where(F.size("lemma") > 5).withColumn("n", F.size("lemma")).withColumn("content", text.clean(F.col("lemma")))
+    return detect.materialize(own, "sentences")  # read several times by what compares them
 
 
 @query("sentence_tfidf", BASE + _TI + " SELECT event_id, sent_id, word, round(w, 6) AS w FROM ti")
@@ -573,8 +574,9 @@ def aggregated_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     m = members_of(c.strongest(TOP))
     own = _sentences(c, m)
-    w = summarize.tfidf(own, GROUP)
-    parts = [summarize.cosine_pairs(w, GROUP), summarize.textrank_pairs(own, GROUP), summarize.keyword_pairs(w, own, m.select("event_id", "word"), GROUP)]
+    w = detect.materialize(summarize.tfidf(own, GROUP), "weights")
+    m = detect.materialize(m.select("event_id", "word"), "keywords")
+    parts = [summarize.cosine_pairs(w, GROUP), summarize.textrank_pairs(own, GROUP), summarize.keyword_pairs(w, own, m, GROUP)]
     return summarize.scaled_product(parts, GROUP).select("event_id", "i", "j", F.round("v", 5).alias("v"))
 
 
