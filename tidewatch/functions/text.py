@@ -18,10 +18,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def keeps(word: Column, stopwords: Sequence[str] = STOPWORDS, shortest: int = 3, longest: int = 15) -> Column:
+    """Of an allowed length and no stopword in lower case."""
+    fits = F.length(word).between(shortest, longest)
+    return fits & ~F.lower(word).isin(*stopwords) if stopwords else fits
+
+
 def clean(tokens: Column, stopwords: Sequence[str] = STOPWORDS, shortest: int = 3, longest: int = 15) -> Column:
-    """Tokens of an allowed length that are no stopwords in lower case."""
-    ok = lambda w: F.length(w).between(shortest, longest) & ~F.lower(w).isin(*stopwords) if stopwords else F.length(w).between(shortest, longest)
-    return F.filter(tokens, ok)
+    """The tokens that `keeps` keeps."""
+    return F.filter(tokens, lambda w: keeps(w, stopwords, shortest, longest))
 
 
 def regex_words(text: Column) -> Column:

@@ -50,8 +50,11 @@ def units_of(docs: DataFrame, names_apart: bool = True) -> DataFrame:
 
 
 def occurrences(units: DataFrame, stopwords: Sequence[str] = text.STOPWORDS) -> DataFrame:
-    """unit_id, doc_id, day, word: the binary bag of words. Repeats go within the row, so nothing is shuffled for it."""
-    return units.select("unit_id", "doc_id", "day", F.explode(F.array_distinct(text.clean(text.words(F.col("txt")), stopwords))).alias("word"))
+    """unit_id, doc_id, day, word: the binary bag of words. Repeats go within the row, so nothing is shuffled for it; the
+    cleaner's rules come after the explode, where they are compiled."""
+    raw = F.split(F.coalesce(F.col("txt"), F.lit("")), text.SPACE)
+    own = units.select("unit_id", "doc_id", "day", F.explode(F.array_distinct(raw)).alias("word"))
+    return own.where(text.keeps(F.col("word"), stopwords))
 
 
 def day_counts(words: DataFrame) -> DataFrame:
