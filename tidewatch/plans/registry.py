@@ -69,7 +69,7 @@ def corpus(spark: SparkSession, sf_dir: str, **settings) -> Corpus:
 
 
 def r6(c, name: str | None = None):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name or c)  # no negative zero
 
 
 def members_of(words: DataFrame) -> DataFrame:
@@ -280,12 +280,12 @@ _NORM = ", z AS (SELECT word_id, day, y, sum(y) OVER (PARTITION BY word_id) AS s
 _KLP = _NORM + ", kl AS (SELECT a.word_id AS i, b.word_id AS j, " + _KL.format(p="a", q="b") + " AS kl_ij, " + _KL.format(p="b", q="a") + " AS kl_ji FROM z a JOIN z b ON a.day = b.day AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id)"
 
 
-@query("kl_divergence_pairs", BASE + _KLP + " SELECT i, j, round(kl_ij, 6) AS kl_ij, round(kl_ji, 6) AS kl_ji, round(greatest(kl_ij, kl_ji), 6) AS divergence FROM kl")
+@query("kl_divergence_pairs", BASE + _KLP + " SELECT i, j, round(kl_ij, 6) + 0 AS kl_ij, round(kl_ji, 6) + 0 AS kl_ji, round(greatest(kl_ij, kl_ji), 6) + 0 AS divergence FROM kl")
 def kl_divergence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.kl_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("kl_ij"), r6("kl_ji"), r6("divergence"))
 
 
-@query("set_divergence", BASE + _KLP + " SELECT a.event_id, round(coalesce(max(greatest(kl_ij, kl_ji)), 0), 6) AS divergence FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id JOIN kl ON kl.i = a.word_id AND kl.j = b.word_id GROUP BY a.event_id")
+@query("set_divergence", BASE + _KLP + " SELECT a.event_id, round(coalesce(max(greatest(kl_ij, kl_ji)), 0), 6) + 0 AS divergence FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id JOIN kl ON kl.i = a.word_id AND kl.j = b.word_id GROUP BY a.event_id")
 def set_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = corpus(spark, sf_dir).strongest(TOP)
     return pairs.set_extreme(pairs.kl_pairs(own), members_of(own), "divergence", True).select("event_id", r6("divergence"))
@@ -301,7 +301,7 @@ def set_doc_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JS = "{w} AS (SELECT a.word_id AS i, b.word_id AS j, a.day, a.y AS p, b.y AS q, (a.y + b.y) / 2 AS m FROM {t} a JOIN {t} b ON a.day = b.day AND a.word_id < b.word_id), {w}s AS (SELECT i, j, sum(p) AS sp, sum(q) AS sq, sum(m) AS sm FROM {w} GROUP BY i, j), js AS (SELECT i, j, sum(CASE WHEN p = 0 OR sp = 0 THEN 0 ELSE p / sp * log2((p / sp) / (m / sm)) END) / 2 + sum(CASE WHEN q = 0 OR sq = 0 THEN 0 ELSE q / sq * log2((q / sq) / (m / sm)) END) / 2 AS jsd, min(least(sp, sq)) AS mass FROM {w} JOIN {w}s USING (i, j) GROUP BY i, j)"
 
 
-@query("jsd_pairs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(jsd, 6) AS jsd FROM js")
+@query("jsd_pairs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(jsd, 6) + 0 AS jsd FROM js")
 def jsd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.jsd_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("jsd"))
 
