@@ -126,7 +126,7 @@ def near_counts(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
         wide = np.flatnonzero(np.diff(edge) > 1)
         for lo, hi in zip(edge[wide], edge[wide + 1], strict=True):
             x = fp[lo:hi]
-            step = max(1, (1 << 20) // len(x))
+            step = max(1, (1 << 17) // len(x))  # near pairs are tried against every earlier table
             for i in range(0, len(x), step):
                 diff = x[i : i + step, None] ^ x[None, :]
                 a, b = np.nonzero(np.bitwise_count(diff) <= radius)
