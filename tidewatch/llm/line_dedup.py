@@ -47,7 +47,11 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, min_repeats:
 
 def with_boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, min_repeats: int) -> DataFrame:
     """pages (host, lines, any) with `drop`, the hashes of its host's boilerplate lines (null: none)."""
-    found = materialize(boilerplate(pages.select("host", "lines"), max_ratio, min_pages, min_repeats), "boilerplate")
+    return joined(pages, boilerplate(pages.select("host", "lines"), max_ratio, min_pages, min_repeats))
+
+
+def joined(pages: DataFrame, drop: DataFrame) -> DataFrame:
+    found = materialize(drop, "boilerplate")
     size = found.agg(F.sum(F.size("drop") * 8 + F.length("host") + 64)).first()[0] or 0
     return pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
@@ -67,14 +71,28 @@ def dedup_pages(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, mi
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
-def dedup_documents(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 20, min_repeats: int = 3) -> DataFrame:
-    """documents without the lines that more than max_ratio of their source's documents have; the other lines stay as they
-    are, and a null text stays null. Lines are compared without outer white space; blank ones always stay."""
+def shared_lines(docs: DataFrame, max_ratio: float, min_pages: int, min_repeats: int) -> DataFrame:
+    """docs (host, lines: array of trimmed lines) -> host, drop: hashes of the lines that otherwise different documents share.
+
+    A line has to be on more than max_ratio of its source's documents, and also when only those documents count in which
+    such lines are at most half of all: in copies of a whole document they are most, and copies are left to near-dedup.
+    """
+    hashes = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))
+    own = joined(docs.select("host", hashes.alias("lines")), boilerplate(docs, max_ratio, min_pages, min_repeats)).where("drop is not null")
+    own = own.select("host", "lines", F.array_intersect("lines", "drop").alias("some")).where(2 * F.size("some") <= F.size("lines"))
+    n = own.select("host", F.explode("some").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_repeats)
+    total = docs.groupBy("host").agg(F.count("*").alias("n_docs"))
+    return n.join(total, "host").where(F.col("n") > max_ratio * F.col("n_docs")).groupBy("host").agg(F.collect_set("line").alias("drop"))
+
+
+def dedup_documents(docs: DataFrame, max_ratio: float = 0.01, min_pages: int = 5, min_repeats: int = 5) -> DataFrame:
+    """documents without the lines that more than max_ratio of their source's documents share (see shared_lines); the other
+    lines stay as they are, and a null text stays null. Lines are compared without outer white space; blank ones always stay."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     raw = F.split("text", "\n")
     lines = F.transform(F.coalesce(raw, F.array().cast("array<string>")), trimmed)
     own = docs.select(*names, F.concat_ws("", F.when(F.col("source").isNull(), "n").otherwise("s"), "source").alias("host"), lines.alias("lines"))
-    own = with_boilerplate(own, max_ratio, min_pages, min_repeats)
+    own = joined(own, shared_lines(own.select("host", "lines"), max_ratio, min_pages, min_repeats))
     kept = F.filter(raw, lambda x: (trimmed(x) == "") | keeps(trimmed(x)))
     cut = F.col("drop").isNotNull() & F.arrays_overlap(F.transform("lines", lambda x: F.xxhash64(x)), "drop")
     text = F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text"))
