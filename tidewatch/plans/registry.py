@@ -143,8 +143,11 @@ def headline_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("positional_days", "WITH pd AS (SELECT range AS day, 5 + range % 7 AS n_docs FROM range(4000)), s AS (SELECT day, sum(n_docs) OVER (ORDER BY day) - n_docs AS lo, sum(n_docs) OVER (ORDER BY day) AS hi FROM pd) SELECT doc_id, CAST(day AS INT) AS day FROM documents JOIN s ON doc_id >= lo AND doc_id < hi")
 def positional_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_day = spark.range(4000).select(F.col("id").cast("int").alias("day"), (5 + F.col("id") % 7).alias("n_docs"))
-    return co.positional_days(read_table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos")), per_day).select("doc_id", "day")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"))
+    last = docs.agg(F.max("pos")).first()[0]
+    days = 0 if last is None else 7 * (max(last, 0) // 56 + 1)  # seven days have 56 documents
+    per_day = spark.range(days).select(F.col("id").cast("int").alias("day"), (5 + F.col("id") % 7).alias("n_docs"))
+    return co.positional_days(docs, per_day).select("doc_id", "day")
 
 
 # --- bag of words and trajectories ----------------------------------------------------------------------------------------
