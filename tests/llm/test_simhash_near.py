@@ -68,3 +68,38 @@ def test_links(spark, radius, cell):
 
 def test_empty(spark):
     assert simhash_near.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("radius,dense", [(3, False), (3, True), (2, False), (0, False)])
+def test_tree(monkeypatch, radius, dense):
+    """The upper tree files each value once as its own; with the trees within the shards, all near pairs meet."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash_near, "LEAF", 8)
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**64, 8 if dense else 300, dtype=np.uint64)
+    near = np.repeat(base, 60 if dense else 3)
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64))
+    fps = np.unique(np.r_[base, near])
+    halves = [(fps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (fps >> np.uint64(32)).astype(np.uint32)]
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    leaves = 0
+    for x in halves:
+        leaf, at, own = simhash_near.file(simhash_near.fit(x[::2], 4, radius // 2), x, radius // 2)
+        assert sorted(at[own]) == list(range(len(fps)))
+        leaves = max(leaves, len(set(leaf)))
+        for k in set(leaf):
+            here = at[leaf == k]
+            for i, p in enumerate(simhash_near.search(fps[here], x[here], own[leaf == k], radius)):
+                parent[find(here[i])] = find(here[p])
+    assert leaves > 4
+    want = brute_groups([int(f) for f in fps], radius)
+    mine = [find(i) for i in range(len(fps))]
+    assert len(set(zip(want, mine))) == len(set(want)) == len(set(mine))

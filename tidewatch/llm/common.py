@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +59,28 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def row_keys() -> list:
-    """(_k1, _k2): the key by which rows derived from a document find it again. Rows equal in doc_id and text share it,
-    and all that is derived from them is equal, too."""
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("_k1"),
-        F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_k2"),
-    ]
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is one scan of files, perhaps projected or filtered: a row is then known by its file and its place in it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in df.columns and bool(df.inputFiles())
+
+
+def row_keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs and (_k1, _k2), by which rows derived from a document find it again: no two rows share them, however
+    alike. They are a hash of the file's name and the row's place in it, which no split of the input, lost executor or
+    second read changes; that no two files share a hash is checked. What is not a plain scan of Parquet is written first."""
+    if _plain_scan(docs):
+        path = F.col("_metadata.file_path")
+        try:
+            seen = docs.select(path.alias("f")).distinct().agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("f")).alias("m")).first()
+            keyed = docs.select(*columns, F.xxhash64(path).alias("_k1"), F.col("_metadata.row_index").alias("_k2"))
+            if seen.n == seen.m:
+                return keyed
+        except AnalysisException:  # a format that has no places
+            pass
+    return row_keyed(materialize(docs.select(*columns), "rows", "zstd"), *columns)
 
 
 def keyed_stream(fn: Callable[[pd.DataFrame, bool], pd.DataFrame | None], key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

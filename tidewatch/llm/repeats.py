@@ -2,10 +2,16 @@
 
 Every window of `window` units (words or bytes) picks one anchor: its leftmost k-gram with the smallest hash, a function
 of the window's content alone. So two equal windows pick anchors with equal k-grams at equal distances, and comparing the
-surroundings of equal anchors finds every repeat. About 2 of (window - k) positions become anchors, which bounds what is
-shuffled. Anchors whose k-gram occurs once are dropped by a count; those whose whole surroundings (all windows that can
-pick them) are alike form a class and are settled by its size, so thousands of copies cost one row each and no pairs.
-Only one member of each class with partners in other classes is compared unit by unit, by the operator's own index.
+passages around equal anchors finds every repeat. A passage is the text of all windows that pick its anchor. About 2 of
+(window - k) positions become anchors, which bounds what is shuffled. Anchors whose k-gram occurs once are dropped by a
+count; equal passages form a class and are settled by its size, so thousands of copies cost one row each and no pairs.
+One member of each class goes to a shard of the index, and there the operator's own method compares it with the others:
+relative Lempel-Ziv factors (substring_dedup.py) or suffix arrays (suffix_dedup.py).
+
+A key is an anchor's k-gram. One with more passages than a shard should hold is split by what stands beside it: of the
+windows that pick an anchor, those that reach further to its left share a longer gram to the left, the others one to the
+right, so each passage goes under two longer grams, each with half of its windows. That is repeated while a key is too
+large and its grams are shorter than the window; it loses no pair of equal windows, and no task holds a hot key.
 """
 
 from __future__ import annotations
@@ -18,35 +24,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_symbols, chunks, encoded, keyed_stream, lean_batches, materialize, mix64, row_keys, word_hashes
+from .common import Rolling, byte_symbols, chunks, encoded, keyed_stream, lean_batches, materialize, mix64, row_keyed, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 #: Units of one text that are anchored at a time.
 _PIECE = 1 << 21
+#: Passages of one bucket, on average: what a task compares at a time.
+BUCKET = 4096
+
+Match = Callable[[pd.DataFrame, "Unit"], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of. window: its units; k: those of an anchor; hot: classes of one k-gram that one task compares
-    at most, the windows of more are counted by hash."""
+    """What a window is made of. window: its units; k: those of an anchor; shard: passages of one key beyond which it is
+    split."""
 
     kind: str
     window: int
     k: int
-    hot: int = 20_000
+    shard: int = 2048
+
+    @property
+    def slack(self) -> int:
+        return self.window - self.k
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The units' 64-bit symbols over all texts, and where each text's begin (and the last ends)."""
+        return self.parsed(texts)[:2]
+
+    def parsed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
+        """The units' 64-bit symbols over all texts; where each text's begin (and the last ends); the bytes of a range."""
         if self.kind == "bytes":
-            return byte_symbols(b"".join(texts)), np.cumsum([0, *map(len, texts)])
-        hashes, starts, _ = word_hashes(b"\n".join(texts))
-        return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            data = b"".join(texts)
+            return byte_symbols(data), np.cumsum([0, *map(len, texts)]), lambda a, b: data[a:b]
+        data = b"\n".join(texts)
+        hashes, starts, ends = word_hashes(data)
+        return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])), lambda a, b: data[starts[a] : ends[b - 1]]
 
 
 def find_anchors(symbols: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """(text, position in it, k-gram hash, surroundings' hash, least and greatest distance from a window's start to the
-    anchor it picks), an entry for each anchor."""
-    n, w = len(symbols), unit.window - unit.k + 1
+    """(text, position in it, k-gram hash, passage's hash, least and greatest distance from a window's start to the anchor it
+    picks), an entry for each anchor."""
+    n, w = len(symbols), unit.slack + 1
     if n < unit.window:
         return tuple(np.zeros(0, t) for t in ("i8", "i8", "u8", "u8", "i8", "i8"))
     rolling = Rolling(symbols)
@@ -66,15 +85,14 @@ def find_anchors(symbols: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[
     first = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
     last = np.r_[first[1:], len(picked)] - 1
     at = picked[first]
+    near, far = at - starts[last], at - starts[first]
+    passage = rolling.of(at - far, at - near + unit.window) ^ mix64(((near << 32) | far).astype(np.uint64))
     t = text[at]
-    left, right = np.maximum(at - w + 1, offsets[t]), np.minimum(at + unit.window, offsets[t + 1])
-    around = rolling.of(left, right) ^ mix64((((at - left) << 32) | (right - at)).astype(np.uint64))
-    return t, at - offsets[t], grams[at], around, at - starts[last], at - starts[first]
+    return t, at - offsets[t], grams[at], passage, near, far
 
 
 def _anchor_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = unit.window - unit.k + 1
         for pdf in batches:
             texts, k1, k2 = encoded(pdf["_text"]), pdf["_k1"].to_numpy(), pdf["_k2"].to_numpy()
             for lo, hi in chunks(texts):
@@ -83,65 +101,70 @@ def _anchor_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                 if len(symbols) > 2 * _PIECE:  # one very long text: by pieces, each with all windows of its own anchors
                     parts = []
                     for a in range(0, len(symbols), _PIECE):
-                        begin = max(0, a - w)
+                        begin = max(0, a - unit.slack - 1)
                         piece = symbols[begin : min(len(symbols), a + _PIECE + unit.window)]
                         found = find_anchors(piece, np.array([0, len(piece)]), unit)
                         own = (found[1] + begin >= a) & (found[1] + begin < a + _PIECE)
                         parts.append((tuple(x[own] for x in found), begin))
-                for (t, pos, key, around, near, far), begin in parts:
-                    yield pd.DataFrame({"key": key.view(np.int64), "cls": around.view(np.int64), "_k1": k1[lo:hi][t], "_k2": k2[lo:hi][t], "pos": (pos + begin).astype(np.int32), "dd": ((near << 16) | far).astype(np.int32)})
+                for (t, pos, key, passage, near, far), begin in parts:
+                    yield pd.DataFrame({"key": key.view(np.int64), "cls": passage.view(np.int64), "_k1": k1[lo:hi][t], "_k2": k2[lo:hi][t], "pos": (pos + begin).astype(np.int32), "lo": near.astype(np.int16), "hi": far.astype(np.int16)})
 
     return run
 
 
-def _contexts(unit: Unit, windows: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The surroundings of the anchors in reps; or with windows, a hash of each window that picks them."""
+#: A passage: its key (now and at first), class, rows of that class, the distances of its windows, units left and right of
+#: the anchor that its key covers, its document, and its bytes, which begin `hi` units before the anchor.
+PASSAGE = "key long, first_key long, cls long, n long, lo short, hi short, a short, b short, _k1 long, _k2 long, passage binary"
+
+
+def _passages(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The passages of the anchors in reps (of one document a row)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = unit.window - unit.k + 1
         for pdf in batches:
             out: list[tuple] = []
-            for text, reps in zip(encoded(pdf["_text"]), pdf["reps"], strict=True):
+            for text, reps, k1, k2 in zip(encoded(pdf["_text"]), pdf["reps"], pdf["_k1"], pdf["_k2"], strict=True):
                 if unit.kind == "words":
                     _, starts, ends = word_hashes(text)
-                    n = len(starts)
-                else:
-                    n = len(text)
                 for r in reps:
-                    lo, hi = max(0, r["pos"] - w + 1), min(n, r["pos"] + unit.window)
-                    own = text[starts[lo] : ends[hi - 1]] if unit.kind == "words" else text[lo:hi]
-                    out.append((r["key"], r["cls"], r["n"], r["dd"], r["pos"] - lo, own))
-            frame = pd.DataFrame(out, columns=["key", "cls", "n", "dd", "at", "around"])
-            if not windows:
-                yield frame
-            elif len(frame):
-                for i in range(0, len(frame), 1000):
-                    part = frame.iloc[i : i + 1000]
-                    owner, d, h = window_hashes(part, unit)
-                    yield pd.DataFrame({"key": part["key"].to_numpy()[owner], "cls": part["cls"].to_numpy()[owner], "n": part["n"].to_numpy()[owner], "d": d.astype(np.int32), "h": h.view(np.int64)})
+                    x, y = r["pos"] - r["hi"], r["pos"] - r["lo"] + unit.window
+                    own = text[starts[x] : ends[y - 1]] if unit.kind == "words" else text[x:y]
+                    out.append((r["key"], r["key"], r["cls"], r["n"], r["lo"], r["hi"], 0, 0, k1, k2, own))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGE.split(", ")])
 
     return run
 
 
-def window_hashes(frame: pd.DataFrame, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the frame, distance, hash) of every window that picks one of the frame's anchors, by row and distance."""
-    around, at = list(frame["around"]), frame["at"].to_numpy()
-    near, far = frame["dd"].to_numpy() >> 16, frame["dd"].to_numpy() & 0xFFFF
-    count = (far - near + 1).astype(np.int64)
-    owner = np.repeat(np.arange(len(frame), dtype=np.int32), count)
-    begin = np.r_[0, np.cumsum(count)]
-    d = (np.arange(begin[-1]) - begin[owner] + near[owner]).astype(np.int32)
-    h = np.empty(begin[-1], dtype=np.uint64)
-    for lo, hi in chunks(around):
-        symbols, offsets = unit.symbols(around[lo:hi])
-        part = slice(begin[lo], begin[hi])
-        start = (offsets[:-1] + at[lo:hi])[owner[part] - lo] - d[part]
-        h[part] = Rolling(symbols).of(start, start + unit.window)
-    return owner, d, h
+def _longer_grams(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each passage under two keys: grams longer to the left and to the right, each with the windows that hold the gram."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = list(pdf["passage"])
+            key = pdf["key"].to_numpy().view(np.uint64)
+            lo, hi, a, b = (pdf[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "a", "b"))
+            middle = (a + unit.slack - b + 1) // 2
+            for x, y in chunks(texts):
+                symbols, offsets, cut = unit.parsed(texts[x:y])
+                rolling, at = Rolling(symbols), offsets[:-1] + hi[x:y]
+                part = slice(x, y)
+                for left in (True, False):
+                    low = np.maximum(lo[part], middle[part]) if left else lo[part]
+                    high = hi[part] if left else np.minimum(hi[part], middle[part] - 1)
+                    own = np.flatnonzero(low <= high)
+                    more_a, more_b = (middle[part], b[part]) if left else (a[part], unit.slack - middle[part] + 1)
+                    gram = rolling.of((at - more_a)[own], (at + unit.k + more_b)[own])
+                    out = pdf.iloc[x:y].iloc[own].copy()
+                    out["key"] = mix64(gram ^ mix64(key[part][own] + np.uint64(1 + left))).view(np.int64)
+                    out["lo"], out["hi"], out["a"], out["b"] = (v[own].astype(np.int16) for v in (low, high, more_a, more_b))
+                    out["passage"] = [cut(at[i] - high[i], at[i] - low[i] + unit.window) for i in own]
+                    yield out
+
+    return run
 
 
 def runs(owner: np.ndarray, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first, last distance) of each maximal run of found windows."""
+    """(owner, first, last distance) of each maximal run of found windows; d rises within an owner."""
     at = np.flatnonzero(found)
     if not len(at):
         return at, at, at
@@ -151,42 +174,73 @@ def runs(owner: np.ndarray, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarra
     return owner[at[first]], d[at[first]], d[at[last]]
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, match: Callable[[pd.DataFrame, Unit], np.ndarray]) -> DataFrame:
-    """(_k1, _k2, spans): for each document (see row_keys) the ranges of its units, as start << 32 | end, that windows
-    occurring twice or more cover. match(frame, unit): which of window_hashes(frame) occur in two or more rows of a key."""
-    texts = lean_batches(docs).select(*row_keys(), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    anchors = texts.mapInPandas(_anchor_rows(unit), "key long, cls long, _k1 long, _k2 int, pos int, dd int")
-    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("n > 1")
+def _compared(unit: Unit, match: Match) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        owner, first, last = match(pdf, unit)
+        new = owner[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])] if len(owner) else owner
+        packed = (first.astype(np.int64) << 32) | last
+        lists = np.split(packed, np.flatnonzero(owner[1:] != owner[:-1]) + 1) if len(owner) else []
+        alone = pdf["n"].to_numpy()[new] == 1  # a class of more is settled: all its windows occur again
+        rows = [(r, x) for r, x, own in zip(new, lists, alone, strict=True) if own]
+        return pd.DataFrame({"key": pdf["first_key"].to_numpy()[[r for r, _ in rows]], "cls": pdf["cls"].to_numpy()[[r for r, _ in rows]], "runs": pd.Series([x for _, x in rows], dtype=object)})
+
+    return run
+
+
+def repeated_spans(keyed: DataFrame, unit: Unit, match: Match) -> DataFrame:
+    """keyed (text, _k1, _k2; see row_keyed) -> (_k1, _k2, spans): for each document with repeats the ranges of its units, as
+    start << 32 | end, that windows occurring twice or more cover. A document has one span at least for each of its anchors
+    in a repeat, so its list is a small part of its text. match(frame, unit): (row, first, last distance) of the runs of
+    windows that occur in two or more rows of the frame, which holds whole keys; rows come in the order of documents."""
+    texts = lean_batches(keyed).select(F.col("text").alias("_text"), "_k1", "_k2")
+    anchors = texts.mapInPandas(_anchor_rows(unit), "key long, cls long, _k1 long, _k2 long, pos int, lo short, hi short")
+    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("n > 1")
     # A table of its own, so that the join deals both sides by itself and AQE can split the anchors of a hot key.
-    keys = materialize(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "keys")
+    keys = materialize(keys.select("key", (F.col("x") == F.col("y")).alias("alike")), "keys")
     shared = materialize(anchors.join(keys, "key"), "anchors")
     mixed = shared.where("not alike")
-    classes = mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos", "dd")).alias("r"))
-    hot = classes.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > unit.hot).select("key")
-    some_hot = not hot.isEmpty()
-
-    def surroundings(of: DataFrame, windows: bool) -> DataFrame:
-        reps = of.groupBy("r._k1", "r._k2").agg(F.collect_list(F.struct("key", "cls", "n", F.col("r.pos").alias("pos"), F.col("r.dd").alias("dd"))).alias("reps"))
-        schema = "key long, cls long, n long, " + ("d int, h long" if windows else "dd int, at int, around binary")
-        return texts.join(reps, ["_k1", "_k2"]).select("_text", "reps").mapInPandas(_contexts(unit, windows), schema)
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "cls"], ignore_index=True)
-        owner, d, _ = w = window_hashes(pdf, unit)
-        o, first, last = runs(owner, d, match(pdf, unit, w))
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[o], "cls": pdf["cls"].to_numpy()[o], "first": first.astype(np.int32), "last": last.astype(np.int32)})
-
-    parts = surroundings(classes.join(hot, "key", "left_anti") if some_hot else classes, False)
-    found = parts.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(keyed_stream(compared, "key"), "key long, cls long, first int, last int")
-    found = found.unionByName(classes.where("n > 1").select("key", "cls", F.shiftright("r.dd", 16).alias("first"), F.col("r.dd").bitwiseAND(0xFFFF).alias("last")))
-    if some_hot:
-        windows = surroundings(classes.join(hot, "key", "left_semi"), True).distinct()
-        twice = windows.groupBy("key", "h").agg(F.count("*").alias("m")).where("m > 1")
-        found = found.unionByName(windows.join(twice, ["key", "h"]).select("key", "cls", F.col("d").alias("first"), F.col("d").alias("last")))
-    span = lambda first, last: ((F.col("pos") - last).cast("long") * (1 << 32) + (F.col("pos") - first + unit.window)).alias("span")
-    spans = mixed.join(found, ["key", "cls"]).select("_k1", "_k2", span(F.col("first"), F.col("last")))
-    alike = shared.where("alike").select("_k1", "_k2", span(F.shiftright("dd", 16), F.col("dd").bitwiseAND(0xFFFF)))
-    return spans.unionByName(alike).groupBy("_k1", "_k2").agg(F.collect_set("span").alias("spans"))
+    classes = mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos", "lo", "hi")).alias("r"))
+    classes = materialize(classes, "classes")
+
+    def passages(of: DataFrame) -> DataFrame:
+        reps = of.groupBy("r._k1", "r._k2").agg(F.collect_list(F.struct("key", "cls", "n", "r.pos", "r.lo", "r.hi")).alias("reps"))
+        return texts.join(reps, ["_k1", "_k2"]).mapInPandas(_passages(unit), PASSAGE)
+
+    def large(of: DataFrame) -> DataFrame:
+        # a table, small: shard or more rows stand behind each of its own, and its size decides how it is joined
+        return materialize(of.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > unit.shard).select("key"), "large-keys")
+
+    hot = large(classes)
+    settled = None
+    if hot.isEmpty():
+        parts = passages(classes)
+    else:
+        parts = passages(classes.join(hot, "key", "left_anti"))
+        split = materialize(passages(classes.join(hot, "key", "left_semi")).mapInPandas(_longer_grams(unit), PASSAGE), "passages")
+        whole = F.col("a") + F.col("b") == unit.slack  # the gram is the window itself: its count settles it
+        while True:
+            settled = split.where(whole) if settled is None else settled.unionByName(split.where(whole))
+            split = split.where(~whole)
+            hot = large(split)
+            if hot.isEmpty():
+                parts = parts.unionByName(split)
+                break
+            parts = parts.unionByName(split.join(hot, "key", "left_anti"))
+            split = materialize(split.join(hot, "key", "left_semi").mapInPandas(_longer_grams(unit), PASSAGE), "passages")
+
+    n_buckets = classes.count() // BUCKET + 1
+    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets))).repartition("bucket").sortWithinPartitions("bucket", "_k1", "_k2")
+    found = dealt.mapInPandas(keyed_stream(_compared(unit, match), "bucket"), "key long, cls long, runs array<long>")
+    pack = lambda a, b: F.array(F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")))
+    if settled is not None:
+        twice = settled.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        found = found.unionByName(settled.where("n = 1").join(twice, "key", "left_semi").select(F.col("first_key").alias("key"), "cls", pack(F.col("lo"), F.col("hi")).alias("runs")))
+    found = found.groupBy("key", "cls").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = found.unionByName(classes.where("n > 1").select("key", "cls", pack(F.col("r.lo"), F.col("r.hi")).alias("runs")))
+    spans = lambda r: F.transform(r, lambda x: F.shiftleft(F.col("pos") - x.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.col("pos") - F.shiftright(x, 32) + unit.window))
+    of_mixed = mixed.join(found, ["key", "cls"]).select("_k1", "_k2", spans(F.col("runs")).alias("spans"))
+    alike = shared.where("alike").select("_k1", "_k2", spans(pack(F.col("lo"), F.col("hi"))).alias("spans"))
+    return of_mixed.unionByName(alike).groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: np.ndarray | list | None) -> list[tuple[int, int]]:

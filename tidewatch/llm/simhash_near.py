@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, keyed_stream, lean_batches, materialize, mix64, read_table, row_keys
+from .common import encoded, keyed_stream, lean_batches, materialize, read_table
 from .components import components
 
 SEED = 42
@@ -45,19 +46,6 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _vantage(levels: int) -> list[int]:
-    return [int(x) & 0xFFFFFFFF for x in mix64(np.arange(1, levels + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
-
-
-def _probes(levels: int, radius: int) -> list[int]:
-    """The shifts of the cell index under which a half at distance 1 to radius can lie. The distance to a vantage point
-    changes by at most e, and by as much modulo 2, when e bits change (the triangle bound); of two opposite shifts one is
-    enough, as the other half's owner probes with it."""
-    shifts = {s for e in range(1, radius + 1) for s in itertools.product(range(-e, e + 1, 2), repeat=levels)}
-    ahead = {s for s in shifts if next((x for x in s if x), 0) > 0}
-    return sorted(sum(x * 64**i for i, x in enumerate(s)) for s in ahead)
-
-
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of each a[i] and b[i]; parent keeps every node's smallest known member."""
     while len(a):
@@ -74,59 +62,155 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def near_links(fps: DataFrame, radius: int = 3, cell_rows: int = 500) -> DataFrame:
+#: Fingerprints that the upper tree is fitted on, at most. Every fingerprint is filed in it, whatever their number.
+SAMPLE = 20_000
+#: Fingerprints of a shard at which the upper tree stops, as far as the sample reaches; of a leaf within a shard.
+SHARD, LEAF = 2048, 256
+
+
+@dataclass
+class Node:
+    """A vantage point and a bound: nearer halves lie in one child, others in the other. A leaf has neither."""
+
+    leaf: int = -1
+    point: int = 0
+    bound: int = 0
+    near: Node | None = None
+    far: Node | None = None
+
+
+def choose(x: np.ndarray, reach: int, tries: int = 12) -> tuple[int, int] | None:
+    """(vantage point, bound): of some of the values, spread over all, the one whose median ball has the fewest others within
+    `reach` inside its edge, as these are searched on both sides. None where no ball leaves enough on either side."""
+    best = None
+    for p in x[np.linspace(0, len(x) - 1, min(tries, len(x))).astype(int)]:
+        d = np.bitwise_count(x ^ p).astype(np.int64)
+        upto = np.cumsum(np.bincount(d))
+        for bound in {int(np.searchsorted(upto, len(x) / 2)), int(np.searchsorted(upto, len(x) / 2)) - 1}:
+            inside = int(upto[bound]) if bound >= 0 else 0
+            edge = inside - (int(upto[bound - reach]) if bound >= reach else 0)
+            cost = max(inside, len(x) - inside + edge)
+            if inside and inside < len(x) and cost < 0.9 * len(x) and (best is None or cost < best[0]):
+                best = cost, int(p), bound
+    return best and best[1:]
+
+
+def fit(sample: np.ndarray, levels: int, reach: int) -> Node:
+    """The upper tree: split while levels and values are left."""
+    leaves = itertools.count()
+
+    def grow(x: np.ndarray, left: int) -> Node:
+        at = choose(x, reach) if left and len(x) >= 16 else None
+        if at is None:
+            return Node(next(leaves))
+        near = np.bitwise_count(x ^ x.dtype.type(at[0])) <= at[1]
+        return Node(-1, *at, grow(x[near], left - 1), grow(x[~near], left - 1))
+
+    return grow(sample, levels)
+
+
+def file(tree: Node, x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, index, own) of each value: its own leaf, and those it visits because the triangle bound allows a partner there.
+    A pair apart is met once: of a node's two sides, the nearer one's values at the edge visit the other side."""
+    out: list[tuple[int, np.ndarray, bool]] = []
+    todo = [(tree, np.arange(len(x)), np.zeros(0, np.int64))]
+    while todo:
+        node, own, visit = todo.pop()
+        if not len(own) and not len(visit):
+            continue
+        if node.near is None:
+            out += [(node.leaf, own, True), (node.leaf, visit, False)]
+            continue
+        d, e = (np.bitwise_count(x[i] ^ x.dtype.type(node.point)).astype(np.int64) for i in (own, visit))
+        near = d <= node.bound
+        todo.append((node.near, own[near], visit[e <= node.bound + reach]))
+        todo.append((node.far, own[~near], np.r_[visit[e > node.bound - reach], own[near & (d > node.bound - reach)]]))
+    sizes = [len(i) for _, i, _ in out]
+    cat = np.concatenate([i for _, i, _ in out]) if out else np.zeros(0, np.int64)
+    return np.repeat([k for k, _, _ in out], sizes).astype(np.int64), cat, np.repeat([o for _, _, o in out], sizes).astype(bool)
+
+
+def search(fp: np.ndarray, half: np.ndarray, own: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of a shard the first of its group: the tree goes on to leaves of LEAF, by the shard's half at
+    radius // 2 bits, and where halves are too much alike by all 64 bits. Leaves are compared exactly."""
+    parent = np.arange(len(fp))
+    todo = [(np.flatnonzero(own), np.flatnonzero(~own))]
+    while todo:
+        mine, visit = todo.pop()
+        if not len(mine) or len(mine) + len(visit) < 2:
+            continue
+        split = None
+        if len(mine) > LEAF:
+            for x, reach in ((half, radius // 2), (fp, radius)):
+                if (at := choose(x[mine], reach)) is None:
+                    continue
+                d, e = (np.bitwise_count(x[i] ^ x.dtype.type(at[0])).astype(np.int64) for i in (mine, visit))
+                near = d <= at[1]
+                a = mine[near], visit[e <= at[1] + reach]
+                b = mine[~near], np.r_[visit[e > at[1] - reach], mine[near & (d > at[1] - reach)]]
+                if max(sum(map(len, a)), sum(map(len, b))) < 0.9 * (len(mine) + len(visit)):
+                    split = a, b
+                    break
+        if split:
+            todo += split
+            continue
+        all_ = np.r_[mine, visit]
+        step = max(1, (1 << 20) // len(all_))
+        for i in range(0, len(mine), step):
+            a, b = np.nonzero(np.bitwise_count(fp[mine[i : i + step], None] ^ fp[None, all_]) <= radius)
+            _union(parent, mine[i + a], all_[b])
+    return parent
+
+
+def near_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """fps (fp: long, distinct) -> links (u, v) that join all fingerprints within `radius` bits, a spanning set of them.
 
-    Two fingerprints within `radius` bits agree within radius // 2 bits on their low or their high 32 bits. Each half is
-    filed in a vantage-point tree whose levels each split by the Hamming distance to one vantage point; a leaf is the tuple
-    of distances. Triangle bounds leave 2^(levels - 1) neighbouring leaves (radius 3) to which a fingerprint is also sent.
-    Leaves are compared exactly on all 64 bits, and give a link to the smallest member of each group they find, so a group
-    of m near copies yields at most m links per leaf. The number of levels follows the number of fingerprints.
+    Two fingerprints within `radius` bits agree within radius // 2 bits on their low or their high 32 bits, so each half has
+    a vantage-point tree. Its upper levels are fitted on at most SAMPLE fingerprints and cut all of them into shards;
+    fingerprints whose triangle bounds reach over a shard's edge also visit the shard beyond. Each shard goes on splitting
+    by points and medians of its own. Every fingerprint is filed, in any number of shards that the bounds ask for. Links
+    go to the first of each group a shard finds, so m near copies yield at most m links a shard.
     """
     n = fps.count()
-    levels = max(1, min(5, round(math.log10(max(1, n) / cell_rows))))
-    points, ahead = _vantage(levels), _probes(levels, radius // 2)
-    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("x")), F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("x"))))
-    leaf = sum((F.bit_count(F.col("h.x").bitwiseXOR(F.lit(p))).cast("long") * 64**i for i, p in enumerate(points)), F.lit(0).cast("long"))
-    filed = fps.select("fp", half.alias("h")).select("fp", (leaf * 2 + F.col("h.side")).alias("leaf"))
-    rows = filed.select("leaf", "fp", F.lit(True).alias("own"))
-    if ahead:
-        near = F.explode(F.array(*(F.lit(2 * s).cast("long") for s in ahead)))
-        rows = rows.unionByName(filed.select("leaf", "fp", near.alias("shift")).select((F.col("leaf") + F.col("shift")).alias("leaf"), "fp", F.lit(False).alias("own")))
+    levels = max(0, math.ceil(math.log2(max(1, n) / shard)))
+    rows = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if levels else []
+    sample = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
+    halves = lambda x: ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32))
+    reach = radius // 2
+    trees = [fit(x, levels, reach) for x in halves(sample)]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fp = pdf["fp"].to_numpy()
+            for side, x in enumerate(halves(fp.view(np.uint64))):
+                leaf, at, own = file(trees[side], x, reach)
+                yield pd.DataFrame({"shard": 2 * leaf + side, "fp": fp[at], "own": own})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, fp, own = pdf["leaf"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
+        shards, fp, own = pdf["shard"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
         u, v = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = own[lo:hi]
-            if hi - lo < 2 or not mine.any():
-                continue
             x = fp[lo:hi]
-            here = np.flatnonzero(mine)
-            parent = np.arange(hi - lo)
-            step = max(1, (1 << 21) // len(x))
-            for i in range(0, len(here), step):
-                a, b = np.nonzero(np.bitwise_count(x[here[i : i + step], None] ^ x[None, :]) <= radius)
-                _union(parent, here[i + a], b)
+            parent = search(x, halves(x)[shards[lo] % 2], own[lo:hi], radius)
             moved = np.flatnonzero(parent != np.arange(hi - lo))
             u.append(x[moved])
             v.append(x[parent[moved]])
         cat = lambda z: np.concatenate(z).view(np.int64) if z else np.zeros(0, np.int64)
         return pd.DataFrame({"u": cat(u), "v": cat(v)})
 
-    return rows.repartition("leaf").sortWithinPartitions("leaf").mapInPandas(keyed_stream(compare, "leaf"), "u long, v long").where("u <> v").distinct()
+    dealt = fps.mapInPandas(deal, "shard long, fp long, own boolean").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInPandas(keyed_stream(compare, "shard"), "u long, v long").where("u <> v").distinct()
 
 
-def near_groups(docs: DataFrame, radius: int = 3, keys: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fp, group (a member's fingerprint), component_id (smallest doc_id of the group);
-    with keys, also row_keys. One row for each row of docs.
+def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, fp, group (a member's fingerprint), component_id (smallest doc_id of the group).
+    One row for each row of docs.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows share all values; a null doc_id
     stays null and is never a component_id, unless no member has one (then it is null); other columns are ignored.
     """
-    extra = row_keys() if keys else []
-    own = materialize(lean_batches(docs).select("doc_id", fingerprint_column(F.coalesce(F.col("text"), F.lit(""))).alias("fp"), *extra), "fingerprints")
+    own = materialize(lean_batches(docs).select("doc_id", fingerprint_column(F.coalesce(F.col("text"), F.lit(""))).alias("fp")), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(near_links(fps.select("fp"), radius))
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("fp"), F.col("v").alias("group")).distinct())
