@@ -118,11 +118,12 @@ PASSAGE = "key long, first_key long, cls long, n long, lo short, hi short, a sho
 
 
 def _passages(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The passages of the anchors in reps (of one document a row)."""
+    """The passages of the anchors in reps (of one document a row); those of large keys under their longer grams."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
+            large: list[bool] = []
             for text, reps, k1, k2 in zip(encoded(pdf["_text"]), pdf["reps"], pdf["_k1"], pdf["_k2"], strict=True):
                 if unit.kind == "words":
                     _, starts, ends = word_hashes(text)
@@ -130,37 +131,35 @@ def _passages(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                     x, y = r["pos"] - r["hi"], r["pos"] - r["lo"] + unit.window
                     own = text[starts[x] : ends[y - 1]] if unit.kind == "words" else text[x:y]
                     out.append((r["key"], r["key"], r["cls"], r["n"], r["lo"], r["hi"], 0, 0, k1, k2, own))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGE.split(", ")])
+                    large.append(r["large"])
+            frame, split = pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGE.split(", ")]), np.array(large, dtype=bool)
+            yield frame[~split]
+            if split.any():
+                yield from longer_grams(frame[split], unit)
 
     return run
 
 
-def _longer_grams(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def longer_grams(frame: pd.DataFrame, unit: Unit) -> Iterator[pd.DataFrame]:
     """Each passage under two keys: grams longer to the left and to the right, each with the windows that hold the gram."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["passage"])
-            key = pdf["key"].to_numpy().view(np.uint64)
-            lo, hi, a, b = (pdf[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "a", "b"))
-            middle = (a + unit.slack - b + 1) // 2
-            for x, y in chunks(texts):
-                symbols, offsets, cut = unit.parsed(texts[x:y])
-                rolling, at = Rolling(symbols), offsets[:-1] + hi[x:y]
-                part = slice(x, y)
-                for left in (True, False):
-                    low = np.maximum(lo[part], middle[part]) if left else lo[part]
-                    high = hi[part] if left else np.minimum(hi[part], middle[part] - 1)
-                    own = np.flatnonzero(low <= high)
-                    more_a, more_b = (middle[part], b[part]) if left else (a[part], unit.slack - middle[part] + 1)
-                    gram = rolling.of((at - more_a)[own], (at + unit.k + more_b)[own])
-                    out = pdf.iloc[x:y].iloc[own].copy()
-                    out["key"] = mix64(gram ^ mix64(key[part][own] + np.uint64(1 + left))).view(np.int64)
-                    out["lo"], out["hi"], out["a"], out["b"] = (v[own].astype(np.int16) for v in (low, high, more_a, more_b))
-                    out["passage"] = [cut(at[i] - high[i], at[i] - low[i] + unit.window) for i in own]
-                    yield out
-
-    return run
+    texts = list(frame["passage"])
+    key = frame["key"].to_numpy().view(np.uint64)
+    lo, hi, a, b = (frame[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "a", "b"))
+    middle = (a + unit.slack - b + 1) // 2
+    for x, y in chunks(texts):
+        symbols, offsets, cut = unit.parsed(texts[x:y])
+        part, rolling, at = slice(x, y), Rolling(symbols), offsets[:-1] + hi[x:y]
+        for left in (True, False):
+            low = np.maximum(lo[part], middle[part]) if left else lo[part]
+            high = hi[part] if left else np.minimum(hi[part], middle[part] - 1)
+            own = np.flatnonzero(low <= high)
+            more_a, more_b = (middle[part], b[part]) if left else (a[part], unit.slack - middle[part] + 1)
+            gram = rolling.of((at - more_a)[own], (at + unit.k + more_b)[own])
+            out = frame.iloc[x:y].iloc[own].copy()
+            out["key"] = mix64(gram ^ mix64(key[part][own] + np.uint64(1 + left))).view(np.int64)
+            out["lo"], out["hi"], out["a"], out["b"] = (v[own].astype(np.int16) for v in (low, high, more_a, more_b))
+            out["passage"] = [cut(at[i] - high[i], at[i] - low[i] + unit.window) for i in own]
+            yield out
 
 
 def runs(owner: np.ndarray, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,39 +201,38 @@ def repeated_spans(keyed: DataFrame, unit: Unit, match: Match) -> DataFrame:
     classes = mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos", "lo", "hi")).alias("r"))
     classes = materialize(classes, "classes")
 
-    def passages(of: DataFrame) -> DataFrame:
-        reps = of.groupBy("r._k1", "r._k2").agg(F.collect_list(F.struct("key", "cls", "n", "r.pos", "r.lo", "r.hi")).alias("reps"))
-        return texts.join(reps, ["_k1", "_k2"]).mapInPandas(_passages(unit), PASSAGE)
-
     def large(of: DataFrame) -> DataFrame:
         # a table, small: shard or more rows stand behind each of its own, and its size decides how it is joined
         return materialize(of.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > unit.shard).select("key"), "large-keys")
 
-    hot = large(classes)
-    settled = None
-    if hot.isEmpty():
-        parts = passages(classes)
-    else:
-        parts = passages(classes.join(hot, "key", "left_anti"))
-        split = materialize(passages(classes.join(hot, "key", "left_semi")).mapInPandas(_longer_grams(unit), PASSAGE), "passages")
-        whole = F.col("a") + F.col("b") == unit.slack  # the gram is the window itself: its count settles it
-        while True:
-            settled = split.where(whole) if settled is None else settled.unionByName(split.where(whole))
-            split = split.where(~whole)
-            hot = large(split)
-            if hot.isEmpty():
-                parts = parts.unionByName(split)
-                break
-            parts = parts.unionByName(split.join(hot, "key", "left_anti"))
-            split = materialize(split.join(hot, "key", "left_semi").mapInPandas(_longer_grams(unit), PASSAGE), "passages")
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from longer_grams(pdf, unit)
+
+    hot = large(classes).withColumn("large", F.lit(True))
+    member = F.struct("key", "cls", "n", "r.pos", "r.lo", "r.hi", F.coalesce("large", F.lit(False)).alias("large"))
+    reps = classes.join(hot, "key", "left").groupBy("r._k1", "r._k2").agg(F.collect_list(member).alias("reps"))
+    now = materialize(texts.join(reps, ["_k1", "_k2"]).mapInPandas(_passages(unit), PASSAGE), "passages", "zstd")
+    parts, settled = None, None
+    whole = F.col("a") + F.col("b") == unit.slack  # the gram is the window itself: its count settles it
+    while True:
+        own = now.where(whole)
+        settled = own if settled is None else settled.unionByName(own)
+        now = now.where(~whole)
+        hot = large(now.where("a + b > 0"))  # the first keys are within the bound, or split
+        last = hot.isEmpty()
+        own = now if last else now.join(hot, "key", "left_anti")
+        parts = own if parts is None else parts.unionByName(own)
+        if last:
+            break
+        now = materialize(now.join(hot, "key", "left_semi").mapInPandas(split, PASSAGE), "passages", "zstd")
 
     n_buckets = classes.count() // BUCKET + 1
     dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets))).repartition("bucket").sortWithinPartitions("bucket", "_k1", "_k2")
     found = dealt.mapInPandas(keyed_stream(_compared(unit, match), "bucket"), "key long, cls long, runs array<long>")
     pack = lambda a, b: F.array(F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")))
-    if settled is not None:
-        twice = settled.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-        found = found.unionByName(settled.where("n = 1").join(twice, "key", "left_semi").select(F.col("first_key").alias("key"), "cls", pack(F.col("lo"), F.col("hi")).alias("runs")))
+    twice = settled.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    found = found.unionByName(settled.where("n = 1").join(twice, "key", "left_semi").select(F.col("first_key").alias("key"), "cls", pack(F.col("lo"), F.col("hi")).alias("runs")))
     found = found.groupBy("key", "cls").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = found.unionByName(classes.where("n > 1").select("key", "cls", pack(F.col("r.lo"), F.col("r.hi")).alias("runs")))
     spans = lambda r: F.transform(r, lambda x: F.shiftleft(F.col("pos") - x.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.col("pos") - F.shiftright(x, 32) + unit.window))
