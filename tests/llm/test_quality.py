@@ -65,6 +65,22 @@ def test_sketches_merge_and_are_accurate(spark):
             assert q.n == len(x)
 
 
+def test_limits_follow_their_groups(spark):
+    """On sf0.1: limits of three measures differ between groups, and on labels that nothing was chosen by (odd ids) junk goes
+    and good documents stay."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = quality.quality(docs).cache()
+    counts = out.join(docs.select("doc_id", "lang", "source"), "doc_id")
+    limits = quality.thresholds(counts.select("lang", "source", *quality.COUNTS, "base_failed")).groupBy("measure").agg(F.countDistinct(F.round("high", 3)).alias("n"), F.count("*").alias("groups")).collect()
+    many = {r.measure: r.n for r in limits}
+    assert sum(n > 20 for n in many.values()) >= 3 and all(r.groups == 80 for r in limits), many
+    judged = out.where("not base_failed and doc_id % 2 = 1").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("kept")).collect()
+    of = {r.quality: (r.n, r.kept) for r in judged}
+    assert of[0][1] == 0 and of[0][0] > 100 and of[1][1] >= 0.995 * of[1][0], of
+    out.unpersist()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert quality.quality(docs).collect() == [] and quality.keep_good(docs).select(F.col("text")).collect() == []

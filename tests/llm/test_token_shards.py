@@ -40,5 +40,23 @@ def test_round_trip(spark, odd_docs, tmp_path):
         assert f.read(2 * length) == bytes(rows[per_shard + 3].payload)
 
 
+def test_order_follows_documents(spark, odd_docs):
+    """Laid back in sequence order, the ids are those of the documents by id, however the table is split."""
+    paths = tokens.default_paths()
+    seen = []
+    for docs in (odd_docs.coalesce(1), odd_docs.repartition(7)):
+        rows = token_shards.training_order(docs, 64, 8, key=9).collect()
+        by_slot = {r.slot: r for r in rows}
+        order = feistel(np.arange(len(rows)), len(rows), 9)
+        seen.append([i for s in order for i in np.frombuffer(by_slot[s].payload, "<u2")[: by_slot[s].n_tokens].tolist()])
+    assert seen[0] == seen[1]
+    own = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    at = 0
+    for r in (r for r in own if sum(x.doc_id == r.doc_id for x in own) == 1):
+        ids = [*tokens.token_ids(r.text, paths).tolist(), 0]
+        found = next(i for i in range(at, len(seen[0])) if seen[0][i : i + len(ids)] == ids)
+        at = found + len(ids)
+
+
 def test_empty(spark):
     assert token_shards.training_order(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -13,6 +13,7 @@ import pickle
 import random
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -85,32 +86,65 @@ def fill(left: Counter, capacity: int, rng: random.Random, packing: Packing) ->
                 del left[k], lengths[bisect.bisect_left(lengths, k)]
 
 
+class _Open:
+    """The open bins of a packing by the room they have left."""
+
+    def __init__(self, packing: Packing, capacity: int) -> None:
+        self.packing, self.capacity = packing, capacity
+        self.rooms: dict[int, list[tuple[int, ...]]] = {}
+        for p in packing:
+            self.rooms.setdefault(capacity - sum(p), []).append(p)
+        self.free = sorted(self.rooms)
+
+    def add(self, p: tuple[int, ...], n: int) -> None:
+        if p not in self.packing:
+            room = self.capacity - sum(p)
+            if room not in self.rooms:
+                bisect.insort(self.free, room)
+            self.rooms.setdefault(room, []).append(p)
+        _put(self.packing, p, n)
+
+    def put(self, k: int, most: int) -> int:
+        """Put up to `most` pieces of length k, one each, into bins that they fill best; 0 if none has room."""
+        at = bisect.bisect_left(self.free, k)
+        if at == len(self.free):
+            return 0
+        room = self.free[at]
+        p = self.rooms[room][-1]
+        n = min(most, self.packing[p])
+        self.packing[p] -= n
+        if not self.packing[p]:
+            del self.packing[p]
+            self.rooms[room].pop()
+            if not self.rooms[room]:
+                del self.rooms[room], self.free[at]
+        self.add(tuple(sorted((*p, k), reverse=True)), n)
+        return n
+
+
+def plain_best_fit(counts: Counter, capacity: int, rng: random.Random, noise: float = 0.0) -> Packing:
+    """Each length in turn, the longest first but for the noise, into the bins that it fills best, new ones where none has
+    room. With noise these are the varied, weaker packings that a population starts from."""
+    packing: Packing = {}
+    bins_ = _Open(packing, capacity)
+    for k in sorted(counts, key=lambda k: -k * (1 + noise * rng.random())):
+        left = counts[k]
+        while left > 0:
+            n = bins_.put(k, left)
+            if not n:
+                each = min(capacity // k, left)
+                n = left // each
+                bins_.add((k,) * each, n)
+                n *= each
+            left -= n
+    return packing
+
+
 def best_fit(left: Counter, capacity: int, rng: random.Random, packing: Packing) -> None:
     """Put displaced pieces, longest first, into the open bin that they fill best; bins are opened for the rest."""
-    rooms: dict[int, list[tuple[int, ...]]] = {}
-    for p in packing:
-        rooms.setdefault(capacity - sum(p), []).append(p)
-    free = sorted(rooms)
+    bins_ = _Open(packing, capacity)
     for k in sorted(left, reverse=True):
-        while left[k] > 0:
-            at = bisect.bisect_left(free, k)
-            if at == len(free):
-                break
-            room = free[at]
-            p = rooms[room][-1]
-            n = min(left[k], packing[p])
-            packing[p] -= n
-            if not packing[p]:
-                del packing[p]
-                rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room], free[at]
-            q = tuple(sorted((*p, k), reverse=True))
-            if q not in packing:
-                if room - k not in rooms:
-                    bisect.insort(free, room - k)
-                rooms.setdefault(room - k, []).append(q)
-            _put(packing, q, n)
+        while left[k] > 0 and (n := bins_.put(k, left[k])):
             left[k] -= n
     fill(left, capacity, rng, packing)
 
@@ -153,43 +187,62 @@ def mutate(a: Packing, counts: Counter, capacity: int, rng: random.Random) -> Pa
     return child
 
 
-def evolve(counts: Counter, capacity: int, elites: list[Packing], seed: int, size: int, rounds: int) -> Packing:
-    """One island: a population that starts from the elites it was sent and from fresh packings."""
+@dataclass
+class Island:
+    """What one island found: its best packing, and how it came to it."""
+
+    best: Packing
+    started: int
+    generations: int
+    crossovers_won: int
+
+
+def evolve(counts: Counter, capacity: int, elites: list[Packing], seed: int, size: int, rounds: int) -> Island:
+    """One island: a population of the elites it was sent and of varied best-fit packings. A generation crosses two parents,
+    at times mutates the child, and drops the worst; it ends at the bound on bins or after `rounds`."""
     rng = random.Random(seed)
     total = sum(k * n for k, n in counts.items())
     bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
     people = list(elites)
     while len(people) < size:
-        packing: Packing = {}
-        fill(Counter(counts), capacity, rng, packing)
-        people.append(packing)
-    people.sort(key=lambda p: fitness(p, capacity), reverse=True)
-    for _ in range(rounds):
-        if bins(people[0]) <= bound:
-            break
-        a, b = people[0], rng.choice(people[1:])
+        people.append(plain_best_fit(counts, capacity, rng, rng.uniform(0.2, 2.0)))
+    rank = lambda p: fitness(p, capacity)
+    people.sort(key=rank, reverse=True)
+    started, generation, won = bins(people[0]), 0, 0
+    while generation < rounds and bins(people[0]) > bound:
+        generation += 1
+        a, b = people[0], rng.choice(people[1:] or people)
         a, b = (a, b) if rng.random() < 0.7 else (b, a)
         child = cross(a, b, counts, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, counts, capacity, rng)
-        people = sorted([*people, child], key=lambda p: fitness(p, capacity), reverse=True)[:size]
-    return people[0]
+        won += rank(child) > rank(people[0])
+        people = sorted([*people, child], key=rank, reverse=True)[:size]
+    return Island(people[0], started, generation, won)
 
 
-def plan_packing(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 4, epochs: int = 2, size: int = 5, rounds: int = 8, seed: int = 7) -> Packing:
-    """Evolve on islands (a task each); after every epoch each island's best is sent to all others. counts and elites are
-    bounded by the capacity, not by the corpus."""
+def plan_packing(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 4, epochs: int = 4, size: int = 6, rounds: int = 16, seed: int = 7, log: list | None = None) -> Packing:
+    """Evolve on islands (a task each); after every epoch each island's best migrates to all others. counts and elites are
+    bounded by the capacity, not by the corpus. log takes (epoch, island, Island) of each."""
     elites: list[Packing] = []
+    total = sum(k * n for k, n in counts.items())
+    bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    rank = lambda p: fitness(p, capacity)
     for epoch in range(epochs):
-        payload = (Counter(counts), capacity, elites, size, rounds)
+        payload = (Counter(counts), capacity, elites[-islands:], size, rounds)
 
         def island(batches: Iterator[pd.DataFrame], epoch: int = epoch, payload: tuple = payload) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found = [evolve(payload[0], payload[1], payload[2][-payload[3] :], seed + 1000 * epoch + int(i), payload[3], payload[4]) for i in pdf["id"]]
-                yield pd.DataFrame({"best": [pickle.dumps(p) for p in found]})
-
-        rows = spark.range(0, islands, 1, islands).mapInPandas(island, "best binary").collect()
-        elites = sorted([*elites, *(pickle.loads(r.best) for r in rows)], key=lambda p: fitness(p, capacity))
+                found = [evolve(*payload[:3], seed + 1000 * epoch + int(i), *payload[3:]) for i in pdf["id"]]
+                yield pd.DataFrame({"id": pdf["id"], "found": [pickle.dumps(x) for x in found]})
+
+        rows = spark.range(0, islands, 1, islands).mapInPandas(island, "id long, found binary").collect()
+        found = {r.id: pickle.loads(r.found) for r in sorted(rows, key=lambda r: r.id)}
+        if log is not None:
+            log += [(epoch, i, x) for i, x in found.items()]
+        elites = sorted([*elites, *(x.best for x in found.values())], key=rank)
+        if bins(elites[-1]) <= bound:
+            break
     return elites[-1]
 
 
@@ -244,7 +297,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | Non
     """
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, capacity, paths), "pieces")
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)).cast("int"))
+    parts = 64 + pieces.count() // 50_000  # each ranks its pieces of a length by itself
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     per_part = materialize(pieces.groupBy("length", "part").count(), "piece-counts")
     counts = {r.length: r.n for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
     places = slots(plan_packing(spark, counts, capacity, **evolution)) if counts else tuple(np.zeros(1, np.int64) for _ in range(4))

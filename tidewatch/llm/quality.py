@@ -57,18 +57,21 @@ def count_column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 #: Relative error of the sketches' quantiles.
-ERROR = 0.01
+ERROR = 0.002
 _GAMMA = (1 + ERROR) / (1 - ERROR)
 #: The bucket of values of zero.
 _ZERO = -100_000
 
-#: Measures of a text; a document fails beyond q50 + reach * (q75 - q50) + slack (or below, mirrored), of its own group.
+#: Measures of a text, and of which quantile of its own group and which floor its limits are made: a document fails beyond
+#: q50 + reach * (quantile - q50) + floor, or below that mirrored. Where junk is common the quartiles still are those of clean
+#: texts; repeats, which clean texts have, are measured by their tail. The floor is for groups whose quantiles are zero.
 MEASURES = {
-    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.05),
-    "word_length": ("word_chars / greatest(n_words, 1)", 2.0),
-    "dup_line_share": ("n_dup_lines / greatest(n_words, 1)", 0.05),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.35),
+    "symbol_share": ("n_symbols / greatest(word_chars, 1)", "q75", 0.02),
+    "word_length": ("word_chars / greatest(n_words, 1)", "q75", 0.1),
+    "dup_line_share": ("n_dup_lines / greatest(n_words, 1)", "q98", 0.01),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", "q95", 0.02),
 }
+AT = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q98": 0.98}
 BELOW = ("word_length",)
 
 
@@ -97,10 +100,10 @@ def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> Dat
 def thresholds(counts: DataFrame, reach: float = 8.0, least: int = 50) -> DataFrame:
     """counts (lang, source, COUNTS, base_failed) -> lang, source, measure, low, high. Groups of fewer than `least`
     documents take the limits of their language (sketches merged over sources), or of all, where that is small too."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(x).cast("double").alias("x")) for m, (x, _) in MEASURES.items()))).alias("p")
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(x).cast("double").alias("x")) for m, (x, *_) in MEASURES.items()))).alias("p")
     own = sketches(counts.where("not base_failed").select("lang", "source", pairs).select("lang", "source", "p.*"), ["lang", "source"])
     own = materialize(own, "sketches")
-    at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    at = AT
     fine = quantiles(own, ["lang", "source"], at)
     lang = quantiles(merge_sketches(own, ["lang"]), ["lang"], at)
     every = quantiles(merge_sketches(own, []), [], at)
@@ -109,9 +112,10 @@ def thresholds(counts: DataFrame, reach: float = 8.0, least: int = 50) -> DataFr
     b = b.withColumnsRenamed({"lang": "b_lang", "measure": "b_measure"})
     both = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure"))).join(c, "measure")
     q = F.when(F.col("a.n") >= least, F.col("a")).when(F.col("b.n") >= least, F.col("b")).otherwise(F.col("c"))
-    slack = F.create_map(*(F.lit(v) for m, (_, s) in MEASURES.items() for v in (m, s)))[F.col("measure")]
-    high = F.col("q.q50") + reach * (F.col("q.q75") - F.col("q.q50")) + slack
-    low = F.when(F.col("measure").isin(*BELOW), F.col("q.q50") - reach * (F.col("q.q50") - F.col("q.q25")) - slack).otherwise(F.lit(-1.0))
+    of = lambda pick: F.coalesce(*(F.when(F.col("measure") == m, pick(*x)) for m, x in MEASURES.items()))
+    high = of(lambda _, name, floor: F.col("q.q50") + reach * (F.col(f"q.{name}") - F.col("q.q50")) + floor)
+    low = of(lambda _, name, floor: F.col("q.q50") - reach * (F.col("q.q50") - F.col("q.q25")) - floor)
+    low = F.when(F.col("measure").isin(*BELOW), low).otherwise(F.lit(-1.0))
     return both.withColumn("q", q).select("lang", "source", "measure", low.alias("low"), high.alias("high"))
 
 
@@ -121,9 +125,9 @@ def judged(counted: DataFrame, reach: float, least: int) -> DataFrame:
     limits = thresholds(counted.select("lang", "source", "_q.*", failed.alias("base_failed")), reach, least)
     wide = limits.groupBy("lang", "source").agg(*(F.first(F.when(F.col("measure") == m, F.struct("low", "high")), ignorenulls=True).alias(m) for m in MEASURES)).select(F.struct("*").alias("_t"))
     ok = F.lit(True)
-    for m, (x, _) in MEASURES.items():
+    for m, (x, *_) in MEASURES.items():
         ok = ok & F.col(f"_m_{m}").between(F.col(f"_t.{m}.low"), F.col(f"_t.{m}.high"))
-    values = counted.select("*", "_q.*").select(*counted.columns, *(F.expr(x).cast("double").alias(f"_m_{m}") for m, (x, _) in MEASURES.items()))
+    values = counted.select("*", "_q.*").select(*counted.columns, *(F.expr(x).cast("double").alias(f"_m_{m}") for m, (x, *_) in MEASURES.items()))
     joined = values.join(wide, F.col("lang").eqNullSafe(F.col("_t.lang")) & F.col("source").eqNullSafe(F.col("_t.source")), "left")
     return joined.select(*counted.columns, failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(True))).alias("kept"))
 
