@@ -152,12 +152,17 @@ def kl_bits(p: np.ndarray, q: np.ndarray) -> float:
 
 def max_kl(curves: np.ndarray) -> np.ndarray:
     """The larger of both KL divergences of each pair of rows."""
-    n = len(curves)
-    out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            out[i, j] = out[j, i] = max(kl_bits(curves[i], curves[j]), kl_bits(curves[j], curves[i]), key=lambda v: (math.isnan(v), v))
-    return out
+    sums = curves.sum(1, keepdims=True)
+    p = np.where(sums > 0, curves / np.where(sums > 0, sums, 1.0), np.nan)
+    out = np.zeros((len(p), len(p)))
+    for i in range(len(p)):  # one row at a time: the cube of all pairs and days would not fit
+        on = p[i] > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[i] = (p[i, on] * np.log2(p[i, on] / p[:, on])).sum(1)
+    flat = ~(sums[:, 0] > 0)
+    out[flat], out[:, flat] = np.nan, np.nan
+    np.fill_diagonal(out, 0.0)
+    return np.maximum(out, out.T)  # a NaN on either side stays
 
 
 def savgol(y: np.ndarray, window: int = 15, order: int = 3) -> np.ndarray:

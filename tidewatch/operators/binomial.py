@@ -17,7 +17,7 @@ def observed(counts: DataFrame, per_day: DataFrame) -> DataFrame:
     """word, day, c, n_docs, c_norm, p_o, p_j, n: each day's count of a word (absent days are left out), the count scaled to
     the mean day of n documents (rounded half to even), its share, and the word's mean share of the days that have it."""
     n = per_day.agg(F.bround(F.avg("n_docs")).alias("n"))
-    own = counts.join(F.broadcast(per_day), "day").crossJoin(F.broadcast(n)).where("c > 0")
+    own = counts.join(per_day, "day").crossJoin(F.broadcast(n)).where("c > 0")
     own = own.withColumn("p_o", F.col("c") / F.col("n_docs")).withColumn("c_norm", F.bround(F.col("c") / (F.col("n_docs") / F.col("n"))).cast("long"))
     mean = own.groupBy("word").agg(F.avg("p_o").alias("p_j"))
     return own.join(mean, "word").select("word", "day", "c", "n_docs", "c_norm", "p_o", "p_j", F.col("n").cast("long").alias("n"))

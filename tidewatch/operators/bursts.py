@@ -17,7 +17,7 @@ FEW_DAYS = 7
 
 def event_trajectory(members: DataFrame, words: DataFrame, weighted: bool = True) -> DataFrame:
     """event_id, day, y: the members' mean trajectory, weighted by power (or plain)."""
-    own = members.join(F.broadcast(words.select("word_id", "dps", "y")), "word_id").select("event_id", "dps", F.posexplode("y").alias("day", "v"))
+    own = members.join(words.select("word_id", "dps", "y"), "word_id").select("event_id", "dps", F.posexplode("y").alias("day", "v"))
     w = F.col("dps") if weighted else F.lit(1.0)
     return own.groupBy("event_id", "day").agg(F.try_divide(F.sum(w * F.col("v")), F.sum(w)).alias("y"))
 
@@ -69,5 +69,5 @@ def burst_curves(fits: DataFrame, events: DataFrame, days: int) -> DataFrame:
     z = (F.col("day") - F.col("loc")) / F.col("scale")
     normal = F.exp(-z * z / 2) / (F.col("scale") * F.sqrt(F.lit(2 * np.pi)))
     cauchy = 1 / (np.pi * F.col("scale") * (1 + z * z))
-    own = fits.join(F.broadcast(events.select("event_id", "kind")), "event_id").where("scale > 0").select("*", day)
+    own = fits.join(events.select("event_id", "kind"), "event_id").where("scale > 0").select("*", day)
     return own.select("event_id", "burst_id", "day", F.when(F.col("kind") == "aperiodic", normal).otherwise(cauchy).alias("density"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays, kernels, text
+from ..sources.cache import materialize
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,13 +26,16 @@ def dense_ids(df: DataFrame, column: str, name: str, start: int = 0) -> DataFram
     keyed = df.withColumn("_p", F.substring(column, 1, 2))
     before = keyed.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
     own = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1 + start
-    return keyed.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn(name, (F.col("_r") + F.col("_b")).cast("int")).drop("_p", "_r", "_b")
+    return keyed.withColumn("_r", own).join(before, "_p").withColumn(name, (F.col("_r") + F.col("_b")).cast("int")).drop("_p", "_r", "_b")
 
 
 def assign_days(docs: DataFrame, days: int) -> DataFrame:
-    """A relative day by position, the same number of documents each: floor(doc_id * days / number of documents)."""
+    """A relative day by position, the same number of documents each: floor(doc_id * days / number of documents). doc_id is
+    the position, from 0 to the number of documents less one; any other raises, as its document would fall out of the stream."""
     n = docs.agg(F.count("*").alias("_n"))
-    return docs.crossJoin(F.broadcast(n)).withColumn("day", F.floor(F.col("doc_id") * days / F.col("_n")).cast("int")).drop("_n")
+    placed = F.when(F.col("doc_id").between(0, F.col("_n") - 1), F.floor(F.col("doc_id") * days / F.col("_n")).cast("int"))
+    fault = F.raise_error(F.concat(F.lit("doc_id is no position: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return docs.crossJoin(F.broadcast(n)).withColumn("day", placed.otherwise(fault.cast("int"))).drop("_n")
 
 
 def positional_days(docs: DataFrame, per_day: DataFrame) -> DataFrame:
@@ -175,7 +179,10 @@ class Corpus:
     def spectra(self) -> DataFrame:
         return spectrum(self.traj, ("word_id", "word", "df", "y"))
 
-    def strongest(self, n: int) -> DataFrame:
-        """The n words of highest power (ties by word) with rank, trajectory and spectrum."""
-        own = self.spectra.orderBy(F.col("dps").desc(), "word").limit(n)
-        return own.withColumn("rank", F.row_number().over(Window.orderBy(F.col("dps").desc(), "word")))
+    def eventful(self, deviations: float) -> DataFrame:
+        """The words whose power exceeds the mean of all by so many deviations, with rank (by power, ties by word), trajectory
+        and spectrum; written once, as what compares words reads them several times."""
+        spectra = materialize(self.spectra, "spectra")
+        bound = spectra.agg((F.avg("dps") + deviations * F.stddev_pop("dps")).alias("_bound"))
+        own = spectra.crossJoin(F.broadcast(bound)).where("dps > _bound").drop("_bound")
+        return materialize(own.withColumn("rank", F.row_number().over(Window.orderBy(F.col("dps").desc(), "word"))), "eventful")

@@ -27,7 +27,7 @@ def _jsd() -> Column:
 
 def doc_overlap(words: DataFrame, occurrences: DataFrame) -> DataFrame:
     """i, j, both, overlap: units with both words over those of the rarer one; pairs that never meet are left out."""
-    own = occurrences.join(F.broadcast(words.select("word", "word_id", "df")), "word").select("unit_id", "word_id", "df")
+    own = occurrences.join(words.select("word", "word_id", "df"), "word").select("unit_id", "word_id", "df")
     a = own.select("unit_id", F.col("word_id").alias("i"), F.col("df").alias("df_i"))
     b = own.select("unit_id", F.col("word_id").alias("j"), F.col("df").alias("df_j"))
     met = a.join(b, "unit_id").where("i < j").groupBy("i", "j", "df_i", "df_j").agg(F.count("*").alias("both"))

@@ -10,25 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
+from ..sources.cache import materialize
 
 
 def in_bursts(bursts: DataFrame, docs: DataFrame) -> DataFrame:
     """event_id, burst_id, doc_id, day of the documents within each burst. A burst is spread over its days first (as many as
     the stream has at most), so this is an equality join on the day and not a comparison of all with all."""
     days = bursts.where("start <= end").select("event_id", "burst_id", F.explode(F.sequence("start", "end")).alias("day"))
-    return docs.select("doc_id", "day").join(F.broadcast(days) if bursts.isLocal() else days, "day").select("event_id", "burst_id", "doc_id", "day")
+    return docs.select("doc_id", "day").join(days, "day").select("event_id", "burst_id", "doc_id", "day")
 
 
 def any_keyword(members: DataFrame, occurrences: DataFrame) -> DataFrame:
     """event_id, doc_id, n_words: documents with at least one of an event's words, and how many."""
-    hit = occurrences.select("doc_id", "word").join(F.broadcast(members.select("event_id", "word")), "word")
+    hit = occurrences.select("doc_id", "word").join(members.select("event_id", "word"), "word")
     return hit.groupBy("event_id", "doc_id").agg(F.countDistinct("word").alias("n_words"))
 
 
 def all_keywords(bursts: DataFrame, docs: DataFrame, members: DataFrame, occurrences: DataFrame, cap: int) -> DataFrame:
     """event_id, burst_id, rank, doc_id: documents of a burst with all of the event's words, the first `cap` by doc_id."""
     size = members.groupBy("event_id").agg(F.count("*").alias("n_words"))
-    full = any_keyword(members, occurrences).join(F.broadcast(size), ["event_id", "n_words"]).select("event_id", "doc_id")
+    full = any_keyword(members, occurrences).join(size, ["event_id", "n_words"]).select("event_id", "doc_id")
     found = in_bursts(bursts, docs).join(full, ["event_id", "doc_id"])
     rank = F.row_number().over(Window.partitionBy("event_id", "burst_id").orderBy("doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= cap).select("event_id", "burst_id", "rank", "doc_id")
@@ -62,7 +63,20 @@ def wmd_scores(candidates: DataFrame, headlines: DataFrame, keywords: DataFrame,
 
 
 def wmd_top_k(candidates: DataFrame, headlines: DataFrame, keywords: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    return top_k(wmd_scores(candidates, headlines, keywords, vectors), k)
+    """The most similar documents of each burst, exactly: the relaxed distance, a lower bound, ranks all candidates; the first
+    k are measured, and beyond them only those whose bound allows more than the k-th of these has."""
+    w = Window.partitionBy("event_id", "burst_id")
+    keys = ["event_id", "burst_id", "doc_id"]
+    most = F.lit(k) if k is not None else F.round(F.sqrt(F.count("*").over(w))).cast("int")
+    bound = materialize(wmd_scores(candidates, headlines, keywords, vectors, relaxed=True), "movers-bound")
+    bound = materialize(bound.withColumn("_k", most).withColumn("_r", F.row_number().over(w.orderBy(F.col("sim").desc(), "doc_id"))), "movers-ranked")
+    measure = lambda of: wmd_scores(of.select(*keys), headlines, keywords, vectors)
+    first = materialize(measure(bound.where("_r <= _k")), "movers-first")
+    least = first.groupBy("event_id", "burst_id").agg(F.min("sim").alias("_least"))
+    more = bound.where("_r > _k").join(least, ["event_id", "burst_id"]).where(F.col("sim") >= F.col("_least") * (1 - 1e-9))
+    scored = first.unionByName(measure(more)).join(bound.select(*keys, "_k"), keys)
+    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("sim").desc(), "doc_id")))
+    return ranked.where(F.col("rank") <= F.col("_k")).select(*keys, "sim", "rank")
 
 
 def fetch(found: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def count_vectors(tokens: DataFrame, min_df: float = 2, max_df: float = 0.9, size: int = 1 << 16, binary: bool = True) -> tuple[DataFrame, list[str]]:
+def count_vectors(tokens: DataFrame, min_df: float = 2, max_df: float = 0.9, size: int = 1 << 30, binary: bool = True) -> tuple[DataFrame, list[str]]:
     """tokens (doc_id, tokens) with `features`, and the words of its columns."""
     model = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=size, binary=binary).fit(tokens)
     return model.transform(tokens), model.vocabulary

@@ -82,7 +82,9 @@ class EventPipeline:
         lines = retrieve.fetch(found.where("rank <= 50").select("event_id", "burst_id", "doc_id"), docs, ["text"])
         lines = lines.select("event_id", "burst_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
         lemma = text.words(F.col("line"))
-        sentences = lines.select("event_id", "burst_id", (F.col("doc_id") * 100_000 + F.col("i")).alias("sent_id"), lemma.alias("lemma")).where(F.size("lemma") > self.settings.shortest)
+        sentences = lines.select("event_id", "burst_id", "doc_id", F.col("i").alias("sent_no"), lemma.alias("lemma")).where(F.size("lemma") > self.settings.shortest)
+        sentences = summarize.unique_sentences(sentences, ("event_id", "burst_id"))
+        sentences = sentences.select("event_id", "burst_id", summarize.sentence_id(F.col("doc_id"), F.col("sent_no")).alias("sent_id"), "lemma")
         summary = summarize.summarize(sentences.withColumn("content", text.clean(F.col("lemma"))), members.select("event_id", "word"), vectors, self.settings)
         return Result(own, members, where, found, summary)
 

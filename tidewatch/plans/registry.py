@@ -1,7 +1,8 @@
 """Every registered query of the event engine and its DuckDB twin.
 
-The documents of the test tables have no dates, so days follow by position; the words of highest power stand for eventful
-ones, four to an event, and bursts have given places where an operator is checked by itself.
+The documents of the test tables have no dates, so days follow by position. Eventful words are those whose power exceeds the
+mean of all words by three deviations, a bound that suits tables of any size; four make an event, by rank, and bursts have
+given places where an operator is checked by itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-DAYS, MIN_DF, TOP, PER_EVENT = 30, 10, 40, 4
+DAYS, MIN_DF, BEYOND, PER_EVENT = 30, 10, 3.0, 4
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -37,7 +38,7 @@ t AS (SELECT word_id, word, df, day, CASE WHEN n > 0 THEN coalesce(c, 0) / n * l
 pk AS (SELECT word_id, k, (CASE WHEN k * 2 = {DAYS} THEN 1 ELSE 2 END) / {DAYS} * (pow(sum((y - m) * cos(2 * pi() * k * day / {DAYS})), 2) + pow(sum((y - m) * sin(2 * pi() * k * day / {DAYS})), 2)) AS p
   FROM t JOIN (SELECT word_id, avg(y) AS m FROM t GROUP BY word_id) USING (word_id) CROSS JOIN (SELECT range AS k FROM range(1, {DAYS // 2 + 1})) GROUP BY word_id, k),
 sp AS (SELECT word_id, dps, CASE WHEN dps > 0 THEN CAST({DAYS} // k AS INT) END AS dp FROM (SELECT word_id, k, round(p, 10) AS dps, row_number() OVER (PARTITION BY word_id ORDER BY round(p, 10) DESC, k) AS r FROM pk) WHERE r = 1),
-ev AS (SELECT word_id, word, df, dps, dp, r FROM (SELECT *, row_number() OVER (ORDER BY dps DESC, word) AS r FROM v JOIN sp USING (word_id)) WHERE r <= {TOP}),
+ev AS (SELECT word_id, word, df, dps, dp, r FROM (SELECT *, row_number() OVER (ORDER BY dps DESC, word) AS r FROM v JOIN sp USING (word_id) WHERE dps > (SELECT avg(dps) + {BEYOND} * stddev_pop(dps) FROM sp))),
 et AS (SELECT t.* FROM t JOIN ev USING (word_id)),
 em AS (SELECT CAST((r - 1) // {PER_EVENT} AS INT) AS event_id, word_id, word, dps FROM ev),
 eb AS (SELECT event_id, CAST(b AS INT) AS burst_id, (event_id * 7 + 3 + 11 * b) % {DAYS} + 0.25 AS loc, 1.5 + (event_id + b) % 3 AS scale FROM (SELECT DISTINCT event_id FROM em) CROSS JOIN (SELECT range AS b FROM range(2))),
@@ -247,7 +248,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("plot_series", BASE + LISTS + "SELECT word_id, day, round(et.y, 6) AS y, round(cut, 6) AS cut, round(tr.y, 6) AS burst FROM et JOIN cu USING (word_id) JOIN tr USING (word_id, day)")
 def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP).withColumn("cut", co.cutoffs(7)("y"))
+    own = corpus(spark, sf_dir).eventful(BEYOND).withColumn("cut", co.cutoffs(7)("y"))
     own = own.select("word_id", "cut", F.posexplode(F.arrays_zip("y", arrays.trim(F.col("y"), F.col("cut")).alias("b"))).alias("day", "s"))
     return own.select("word_id", "day", r6(F.col("s.y"), "y"), r6("cut"), r6(F.col("s.b"), "burst"))
 
@@ -275,7 +276,7 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("doc_overlap_pairs", BASE + ", o AS (SELECT unit_id, word_id, df FROM w JOIN ev USING (word)) SELECT a.word_id AS i, b.word_id AS j, count(*) AS both, round(count(*) / least(a.df, b.df), 6) AS overlap FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id, a.df, b.df")
 def doc_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return pairs.doc_overlap(c.strongest(TOP), c.words).select("i", "j", "both", r6("overlap"))
+    return pairs.doc_overlap(c.eventful(BEYOND), c.words).select("i", "j", "both", r6("overlap"))
 
 
 _KL = "sum(CASE WHEN {p}.y = 0 THEN 0 WHEN {q}.y = 0 THEN CAST('inf' AS DOUBLE) ELSE {p}.y / {p}.s * log2(({p}.y / {p}.s) / ({q}.y / {q}.s)) END)"
@@ -285,19 +286,19 @@ _KLP = _NORM + ", kl AS (SELECT a.word_id AS i, b.word_id AS j, " + _KL.format(p
 
 @query("kl_divergence_pairs", BASE + _KLP + " SELECT i, j, round(kl_ij, 6) + 0 AS kl_ij, round(kl_ji, 6) + 0 AS kl_ji, round(greatest(kl_ij, kl_ji), 6) + 0 AS divergence FROM kl")
 def kl_divergence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.kl_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("kl_ij"), r6("kl_ji"), r6("divergence"))
+    return pairs.kl_pairs(corpus(spark, sf_dir).eventful(BEYOND)).select("i", "j", r6("kl_ij"), r6("kl_ji"), r6("divergence"))
 
 
-@query("set_divergence", BASE + _KLP + " SELECT a.event_id, round(coalesce(max(greatest(kl_ij, kl_ji)), 0), 6) + 0 AS divergence FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id JOIN kl ON kl.i = a.word_id AND kl.j = b.word_id GROUP BY a.event_id")
+@query("set_divergence", BASE + _KLP + " SELECT a.event_id, round(coalesce(max(greatest(kl_ij, kl_ji)), 0), 6) + 0 AS divergence FROM em a LEFT JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id LEFT JOIN kl ON kl.i = a.word_id AND kl.j = b.word_id GROUP BY a.event_id")
 def set_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     return pairs.set_extreme(pairs.kl_pairs(own), members_of(own), "divergence", True).select("event_id", r6("divergence"))
 
 
-@query("set_doc_overlap", BASE + ", o AS (SELECT unit_id, word_id, df FROM w JOIN ev USING (word)), p AS (SELECT a.word_id AS i, b.word_id AS j, count(*) / least(a.df, b.df) AS overlap FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id, a.df, b.df) SELECT a.event_id, round(min(coalesce(overlap, 0)), 6) AS overlap FROM em a JOIN em b ON a.event_id = b.event_id AND a.word_id < b.word_id LEFT JOIN p ON p.i = a.word_id AND p.j = b.word_id GROUP BY a.event_id")
+@query("set_doc_overlap", BASE + ", o AS (SELECT unit_id, word_id, df FROM w JOIN ev USING (word)), p AS (SELECT a.word_id AS i, b.word_id AS j, count(*) / least(a.df, b.df) AS overlap FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.word_id < b.word_id GROUP BY a.word_id, b.word_id, a.df, b.df) SELECT a.event_id, round(min(CASE WHEN b.word_id IS NULL THEN 1 ELSE coalesce(overlap, 0) END), 6) AS overlap FROM em a LEFT JOIN em b ON a.event_id = b.event_id AND a.word_id <> b.word_id LEFT JOIN p ON p.i = least(a.word_id, b.word_id) AND p.j = greatest(a.word_id, b.word_id) GROUP BY a.event_id")
 def set_doc_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = c.strongest(TOP)
+    own = c.eventful(BEYOND)
     return pairs.set_extreme(pairs.doc_overlap(own, c.words), members_of(own), "overlap", False).select("event_id", r6("overlap"))
 
 
@@ -306,7 +307,7 @@ _JS = "{w} AS (SELECT a.word_id AS i, b.word_id AS j, a.day, a.y AS p, b.y AS q,
 
 @query("jsd_pairs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(jsd, 6) + 0 AS jsd FROM js")
 def jsd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.jsd_pairs(corpus(spark, sf_dir).strongest(TOP)).select("i", "j", r6("jsd"))
+    return pairs.jsd_pairs(corpus(spark, sf_dir).eventful(BEYOND)).select("i", "j", r6("jsd"))
 
 
 _VEC = "list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))"
@@ -314,13 +315,13 @@ _VEC = "list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))"
 
 @query("vector_distance_pairs", BASE + f"SELECT a.word_id AS i, b.word_id AS j, round({_VEC}, 5) AS distance, round((list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) + 1) / 2, 5) AS similarity FROM ew a JOIN ew b ON a.word_id < b.word_id")
 def vector_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pairs.vector_pairs(embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP)))
+    own = pairs.vector_pairs(embedded(spark, sf_dir, corpus(spark, sf_dir).eventful(BEYOND)))
     return own.select("i", "j", F.round("distance", 5).alias("distance"), F.round("similarity", 5).alias("similarity"))
 
 
 @query("set_word_similarity", BASE + ", x AS (SELECT event_id, em.word_id, generate_subscripts(vec, 1) AS k, CAST(unnest(vec) AS DOUBLE) AS x FROM em JOIN ew USING (word_id)), s AS (SELECT event_id, k, sum(x) AS s FROM x GROUP BY event_id, k) SELECT event_id, word_id, round((sum((s - x) * x) / (sqrt(sum((s - x) * (s - x))) * sqrt(sum(x * x))) + 1) / 2, 5) AS similarity FROM x JOIN s USING (event_id, k) GROUP BY event_id, word_id")
 def set_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     return pairs.set_word_similarity(members_of(own), embedded(spark, sf_dir, own)).select("event_id", "word_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -330,13 +331,13 @@ EPS = 0.9
 
 @query("cluster_distance", BASE + _CD + " SELECT i, j, round(d, 5) AS d FROM cd")
 def cluster_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).strongest(TOP)))
+    own = embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).eventful(BEYOND)))
     return pairs.cluster_distance(own).select("i", "j", F.round("d", 5).alias("d"))
 
 
 @query("experimental_costs", BASE + ", " + _JS.format(w="jp", t="et") + " SELECT i, j, round(exp(list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))), 5) AS exp_cosine, round(sqrt(greatest(jsd, 0)), 5) AS root_jsd FROM js JOIN ew a ON a.word_id = i JOIN ew b ON b.word_id = j")
 def experimental_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP))
+    own = embedded(spark, sf_dir, corpus(spark, sf_dir).eventful(BEYOND))
     both = pairs.jsd_pairs(own).join(pairs.vector_pairs(own), ["i", "j"])
     return both.select("i", "j", F.round(F.exp(2 * F.col("similarity") - 1), 5).alias("exp_cosine"), F.round(F.sqrt(F.greatest("jsd", F.lit(0.0))), 5).alias("root_jsd"))
 
@@ -348,7 +349,7 @@ _REC = BASE.replace("\nWITH", "\nWITH RECURSIVE", 1)
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    own = detect.materialize(embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).strongest(TOP))), "words")
+    own = detect.materialize(embedded(spark, sf_dir, detect.trimmed(corpus(spark, sf_dir).eventful(BEYOND))), "words")
     d = detect.materialize(pairs.cluster_distance(own), "distances")
     return own, d, detect.cluster_events(own, d, EPS)
 
@@ -382,23 +383,23 @@ def k_medoids_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("greedy_original")
 def greedy_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir, names_apart=False)
-    return detect.detect_original(c.strongest(TOP), c.words, DAYS)
+    return detect.detect_original(c.eventful(BEYOND), c.words, DAYS)
 
 
 @query("greedy_all_words")
 def greedy_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir, names_apart=False)
-    return detect.detect_all_original(c.strongest(TOP), c.words)
+    return detect.detect_all_original(c.eventful(BEYOND), c.words)
 
 
 @query("greedy_embedded")
 def greedy_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect_embedded(embedded(spark, sf_dir, corpus(spark, sf_dir).strongest(TOP)))
+    return detect.detect_embedded(embedded(spark, sf_dir, corpus(spark, sf_dir).eventful(BEYOND)))
 
 
 @query("smoothed_words")
 def smoothed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = detect.smoothed(corpus(spark, sf_dir).strongest(TOP), DAYS)
+    own = detect.smoothed(corpus(spark, sf_dir).eventful(BEYOND), DAYS)
     return own.select("word_id", "kind", F.posexplode("y").alias("day", "y"))
 
 
@@ -409,13 +410,13 @@ _ET = ", tv AS (SELECT event_id, day, sum(dps * y) / sum(dps) AS y FROM em JOIN
 
 @query("event_trajectory", BASE + _ET + " SELECT event_id, day, round(y, 6) AS y FROM tv")
 def event_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     return bursts.event_trajectory(members_of(own).drop("dps"), own).select("event_id", "day", r6("y"))
 
 
 @query("event_mean_trajectory", BASE + " SELECT event_id, day, round(avg(y), 6) AS y FROM em JOIN t USING (word_id) GROUP BY event_id, day")
 def event_mean_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     return bursts.event_trajectory(members_of(own).drop("dps"), own, weighted=False).select("event_id", "day", r6("y"))
 
 
@@ -424,26 +425,26 @@ _EP = _ET + f", ek AS (SELECT event_id, k, (CASE WHEN k * 2 = {DAYS} THEN 1 ELSE
 
 @query("event_periods", BASE + _EP + f" SELECT event_id, dps, dp, CASE WHEN dp > {-(-DAYS // 2)} THEN 'aperiodic' ELSE 'periodic' END AS kind FROM ep WHERE dp > 7")
 def event_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     v = bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own))
     return bursts.event_periods(v, DAYS).select("event_id", r6("dps"), "dp", "kind")
 
 
 @query("burst_intervals", BASE + 'SELECT event_id, burst_id, start, "end" FROM bi')
 def burst_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given_bursts(members_of(corpus(spark, sf_dir).strongest(TOP)))
+    return given_bursts(members_of(corpus(spark, sf_dir).eventful(BEYOND)))
 
 
 @query("burst_fits")
 def burst_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     v = bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own))
     return bursts.fit_bursts(bursts.event_periods(v, DAYS, above=None))
 
 
 @query("burst_curves")
 def burst_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).strongest(TOP)
+    own = corpus(spark, sf_dir).eventful(BEYOND)
     e = bursts.event_periods(bursts.as_vectors(bursts.event_trajectory(members_of(own).drop("dps"), own)), DAYS, above=None)
     return bursts.burst_curves(bursts.fit_bursts(e), e, DAYS)
 
@@ -454,21 +455,20 @@ def burst_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("docs_in_burst", BASE + 'SELECT event_id, burst_id, doc_id, day FROM bi JOIN d ON day BETWEEN start AND "end"')
 def docs_in_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieve.in_bursts(given_bursts(members_of(c.strongest(TOP))), c.docs)
+    return retrieve.in_bursts(given_bursts(members_of(c.eventful(BEYOND))), c.docs)
 
 
 @query("any_keyword_docs", BASE + "SELECT event_id, doc_id, count(DISTINCT word) AS n_words FROM em JOIN w USING (word) GROUP BY event_id, doc_id")
 def any_keyword_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieve.any_keyword(members_of(c.strongest(TOP)), c.words)
+    return retrieve.any_keyword(members_of(c.eventful(BEYOND)), c.words)
 
 
-@query("retrieve_all_keywords", BASE + ', e2 AS (SELECT event_id, word FROM em WHERE word_id IN (SELECT word_id FROM ev WHERE r % 2 = 1)), sz AS (SELECT event_id, count(*) AS n FROM e2 GROUP BY event_id), h AS (SELECT event_id, doc_id, count(DISTINCT word) AS n FROM e2 JOIN w USING (word) GROUP BY event_id, doc_id), f AS (SELECT event_id, burst_id, doc_id, row_number() OVER (PARTITION BY event_id, burst_id ORDER BY doc_id) AS rank FROM h JOIN sz USING (event_id, n) JOIN d USING (doc_id) JOIN bi USING (event_id) WHERE day BETWEEN start AND "end") SELECT event_id, burst_id, CAST(rank AS INT) AS rank, doc_id FROM f WHERE rank <= 150')
+@query("retrieve_all_keywords", BASE + ', e2 AS (SELECT CAST((r - 1) // 2 AS INT) AS event_id, word FROM ev), eb2 AS (SELECT event_id, CAST(b AS INT) AS burst_id, (event_id * 7 + 3 + 11 * b) % 30 + 0.25 AS loc, 1.5 + (event_id + b) % 3 AS scale FROM (SELECT DISTINCT event_id FROM e2) CROSS JOIN (SELECT range AS b FROM range(2))), bi2 AS (SELECT event_id, burst_id, CAST(greatest(floor(loc - scale), 0) AS INT) AS start, CAST(least(ceil(loc + scale), 29) AS INT) AS "end" FROM eb2), sz AS (SELECT event_id, count(*) AS n FROM e2 GROUP BY event_id), h AS (SELECT event_id, doc_id, count(DISTINCT word) AS n FROM e2 JOIN w USING (word) GROUP BY event_id, doc_id), f AS (SELECT event_id, burst_id, doc_id, row_number() OVER (PARTITION BY event_id, burst_id ORDER BY doc_id) AS rank FROM h JOIN sz USING (event_id, n) JOIN d USING (doc_id) JOIN bi2 USING (event_id) WHERE day BETWEEN start AND "end") SELECT event_id, burst_id, CAST(rank AS INT) AS rank, doc_id FROM f WHERE rank <= 150')
 def retrieve_all_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = c.strongest(TOP)
-    two = members_of(own.where("rank % 2 = 1"))
-    return retrieve.all_keywords(given_bursts(members_of(own)), c.docs, two, c.words, 150)
+    two = c.eventful(BEYOND).select(F.floor((F.col("rank") - 1) / 2).cast("int").alias("event_id"), "word")  # two words an event
+    return retrieve.all_keywords(given_bursts(two), c.docs, two, c.words, 150)
 
 
 _TK = ', sc AS (SELECT event_id, burst_id, doc_id, n / 4 AS sim FROM (SELECT event_id, doc_id, count(DISTINCT word) AS n FROM em JOIN w USING (word) GROUP BY event_id, doc_id) JOIN d USING (doc_id) JOIN bi USING (event_id) WHERE day BETWEEN start AND "end"), tk AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_id, burst_id ORDER BY sim DESC, doc_id) AS INT) AS rank, round(sqrt(count(*) OVER (PARTITION BY event_id, burst_id))) AS k FROM sc) WHERE rank <= k)'
@@ -482,20 +482,20 @@ def _scored(c: Corpus, members: DataFrame) -> DataFrame:
 @query("topk_by_similarity", BASE + _TK + " SELECT event_id, burst_id, doc_id, sim, rank FROM tk")
 def topk_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieve.top_k(_scored(c, members_of(c.strongest(TOP))))
+    return retrieve.top_k(_scored(c, members_of(c.eventful(BEYOND))))
 
 
 @query("fetch_headlines", BASE + _TK + " SELECT event_id, burst_id, rank, doc_id, name FROM tk JOIN d USING (doc_id)")
 def fetch_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    found = retrieve.top_k(_scored(c, members_of(c.strongest(TOP))))
+    found = retrieve.top_k(_scored(c, members_of(c.eventful(BEYOND))))
     return retrieve.fetch(found, c.docs.withColumn("name", text.headline(F.col("text"))), ["name"]).select("event_id", "burst_id", "rank", "doc_id", "name")
 
 
 @query("most_and_least_similar", BASE + _TK + " SELECT event_id, burst_id, first(doc_id ORDER BY sim DESC, doc_id) AS most_id, first(doc_id ORDER BY sim, doc_id) AS least_id FROM sc GROUP BY event_id, burst_id")
 def most_and_least_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieve.extremes(_scored(c, members_of(c.strongest(TOP))))
+    return retrieve.extremes(_scored(c, members_of(c.eventful(BEYOND))))
 
 
 @query("centroid_document", "WITH x AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, k, avg(x) AS m FROM x GROUP BY label, k), f AS (SELECT label, vec_id, round(sqrt(sum((x - m) * (x - m))), 9) AS far FROM x JOIN m USING (label, k) GROUP BY label, vec_id) SELECT label, vec_id AS id, round(far, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY far, vec_id) AS r FROM f) WHERE r = 1")
@@ -507,20 +507,20 @@ def centroid_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_majority_label", BASE + _TK + ", p AS (SELECT event_id, lang AS label, count(*) AS n FROM sc JOIN d USING (doc_id) GROUP BY event_id, lang) SELECT event_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, label) AS r FROM p) WHERE r = 1")
 def event_majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieve.majority(_scored(c, members_of(c.strongest(TOP))), c.docs.select("doc_id", F.col("lang").alias("label")))
+    return retrieve.majority(_scored(c, members_of(c.eventful(BEYOND))), c.docs.select("doc_id", F.col("lang").alias("label")))
 
 
 @query("event_label_statistics", BASE + _TK + ", l AS (SELECT event_id, quality AS label FROM sc JOIN labels USING (doc_id)), c2 AS (SELECT event_id, label, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, label) AS r FROM l GROUP BY event_id, label) SELECT event_id, round(avg(l.label), 6) AS mean, round(stddev_pop(l.label), 6) AS std, quantile_cont(l.label, 0.5) AS median, any_value(c2.label) AS mode FROM l JOIN c2 USING (event_id) WHERE r = 1 GROUP BY event_id")
 def event_label_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    found = _scored(c, members_of(c.strongest(TOP))).join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    found = _scored(c, members_of(c.eventful(BEYOND))).join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return evaluate.label_statistics(found).select("event_id", r6("mean"), r6("std"), "median", "mode")
 
 
 @query("wmd_top_k")
 def wmd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = c.strongest(TOP)
+    own = c.eventful(BEYOND)
     m = members_of(own)
     v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
     found = retrieve.in_bursts(given_bursts(m), c.docs).select("event_id", "burst_id", "doc_id")
@@ -529,7 +529,7 @@ def wmd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- summaries ------------------------------------------------------------------------------------------------------------
 
-_SN = _TK + ", ls AS (SELECT DISTINCT event_id, doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT event_id, doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM tk JOIN d USING (doc_id))), sn AS (SELECT event_id, doc_id * 10000 + i - 1 AS sent_id, list_filter(string_split_regex(line, '" + SPACE + "'), lambda x: x <> '') AS lemma FROM ls), st AS (SELECT *, len(lemma) AS n, list_filter(lemma, lambda x: length(x) BETWEEN 3 AND 15 AND lower(x) NOT IN (" + STOP + ")) AS content FROM sn WHERE len(lemma) > 5)"
+_SN = _TK + ", ls AS (SELECT DISTINCT event_id, doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT event_id, doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM tk JOIN d USING (doc_id))), sn AS (SELECT event_id, doc_id * 16777216 + i - 1 AS sent_id, list_filter(string_split_regex(line, '" + SPACE + "'), lambda x: x <> '') AS lemma FROM ls), st AS (SELECT *, len(lemma) AS n, list_filter(lemma, lambda x: length(x) BETWEEN 3 AND 15 AND lower(x) NOT IN (" + STOP + ")) AS content FROM sn WHERE len(lemma) > 5)"
 _TI = _SN + ", tf AS (SELECT event_id, sent_id, word, count(*) AS tf FROM (SELECT event_id, sent_id, unnest(lemma) AS word FROM st) GROUP BY ALL), df AS (SELECT event_id, word, count(*) AS df FROM tf GROUP BY ALL), ns AS (SELECT event_id, count(*) AS n FROM st GROUP BY event_id), rw AS (SELECT event_id, sent_id, word, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (event_id, word) JOIN ns USING (event_id)), ti AS (SELECT event_id, sent_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY event_id, sent_id)) AS w FROM rw)"
 _PC = ", pc AS (SELECT a.event_id, a.sent_id AS i, b.sent_id AS j, sum(a.w * b.w) AS v FROM ti a JOIN ti b ON a.event_id = b.event_id AND a.word = b.word AND a.sent_id < b.sent_id GROUP BY ALL)"
 _PT = ", cw AS (SELECT event_id, sent_id, n, unnest(list_distinct(content)) AS word FROM st), pt AS (SELECT a.event_id, a.sent_id AS i, b.sent_id AS j, count(*) / (ln(a.n) + ln(b.n)) AS v FROM cw a JOIN cw b ON a.event_id = b.event_id AND a.word = b.word AND a.sent_id < b.sent_id GROUP BY a.event_id, a.sent_id, b.sent_id, a.n, b.n)"
@@ -540,7 +540,7 @@ GROUP = ("event_id",)
 def _sentences(c: Corpus, members: DataFrame) -> DataFrame:
     found = retrieve.top_k(_scored(c, members)).select("event_id", "doc_id").distinct()
     lines = retrieve.fetch(found, c.docs, ["text"]).select("event_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    own = lines.select("event_id", (F.col("doc_id") * 10000 + F.col("i")).alias("sent_id"), text.words(F.col("line")).alias("lemma"))
+    own = lines.select("event_id", summarize.sentence_id(F.col("doc_id"), F.col("i")).alias("sent_id"), text.words(F.col("line")).alias("lemma"))
     own = own.where(F.size("lemma") > 5).withColumn("n", F.size("lemma")).withColumn("content", text.clean(F.col("lemma")))
     return detect.materialize(own, "sentences")  # read several times by what compares them
 
@@ -548,26 +548,26 @@ def _sentences(c: Corpus, members: DataFrame) -> DataFrame:
 @query("sentence_tfidf", BASE + _TI + " SELECT event_id, sent_id, word, round(w, 6) AS w FROM ti")
 def sentence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return summarize.tfidf(_sentences(c, members_of(c.strongest(TOP))), GROUP).select("event_id", "sent_id", "word", r6("w"))
+    return summarize.tfidf(_sentences(c, members_of(c.eventful(BEYOND))), GROUP).select("event_id", "sent_id", "word", r6("w"))
 
 
 @query("sentence_cosine", BASE + _TI + _PC + " SELECT event_id, i, j, round(v, 6) AS v FROM pc")
 def sentence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = summarize.tfidf(_sentences(c, members_of(c.strongest(TOP))), GROUP)
+    own = summarize.tfidf(_sentences(c, members_of(c.eventful(BEYOND))), GROUP)
     return summarize.cosine_pairs(own, GROUP).select("event_id", "i", "j", r6("v"))
 
 
 @query("textrank_similarity", BASE + _SN + _PT + " SELECT event_id, i, j, round(v, 6) AS v FROM pt")
 def textrank_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return summarize.textrank_pairs(_sentences(c, members_of(c.strongest(TOP))), GROUP).select("event_id", "i", "j", r6("v"))
+    return summarize.textrank_pairs(_sentences(c, members_of(c.eventful(BEYOND))), GROUP).select("event_id", "i", "j", r6("v"))
 
 
 @query("keyword_similarity", BASE + _TI + _PK + " SELECT event_id, i, j, round(v, 6) AS v FROM pkk")
 def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    m = members_of(c.strongest(TOP))
+    m = members_of(c.eventful(BEYOND))
     own = _sentences(c, m)
     return summarize.keyword_pairs(summarize.tfidf(own, GROUP), own, m.select("event_id", "word"), GROUP).select("event_id", "i", "j", r6("v"))
 
@@ -575,7 +575,7 @@ def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("aggregated_similarity", BASE + _TI + _PC + _PT + _PK + ", al AS (SELECT event_id, i, j, pc.v * pt.v * pkk.v AS v FROM pc JOIN pt USING (event_id, i, j) JOIN pkk USING (event_id, i, j)) SELECT event_id, i, j, round((v - min(v) OVER x) / nullif(max(v) OVER x - min(v) OVER x, 0), 5) AS v FROM al WINDOW x AS (PARTITION BY event_id)")
 def aggregated_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    m = members_of(c.strongest(TOP))
+    m = members_of(c.eventful(BEYOND))
     own = _sentences(c, m)
     w = detect.materialize(summarize.tfidf(own, GROUP), "weights")
     m = detect.materialize(m.select("event_id", "word"), "keywords")
@@ -586,7 +586,7 @@ def aggregated_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sentence_vectors", BASE + _SN + ", vx AS (SELECT word, k, x FROM (SELECT v.word, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM v CROSS JOIN vn JOIN embeddings e ON e.vec_id = v.word_id % vn.n)), ss AS (SELECT DISTINCT sent_id, lemma FROM st), sw AS (SELECT sent_id, unnest(lemma) AS word FROM ss), sv AS (SELECT sent_id, k, sum(x) AS x FROM sw JOIN vx USING (word) GROUP BY sent_id, k) SELECT sent_id, round(coalesce(sqrt(sum(x * x)), 0), 4) AS length FROM ss LEFT JOIN sv USING (sent_id) GROUP BY sent_id")
 def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = _sentences(c, members_of(c.strongest(TOP))).dropDuplicates(["sent_id"])
+    own = _sentences(c, members_of(c.eventful(BEYOND))).dropDuplicates(["sent_id"])
     v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
     return summarize.vector_sums(own, v, 64).select("sent_id", F.round(arrays.norm(F.col("vec")), 4).alias("length"))
 
@@ -599,7 +599,7 @@ def unique_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("summary_lines", BASE + ", kw AS (SELECT event_id, list(word ORDER BY dps DESC, word) AS k FROM em GROUP BY event_id) SELECT event_id, burst_id, (event_id + 1) || ' - ' || array_to_string(k[1:8], ', ') || CASE WHEN len(k) > 8 THEN '...' ELSE '' END || chr(10) || 'burst ' || strftime(DATE '2014-01-01' + start, '%b %-d') || ' - ' || strftime(DATE '2014-01-01' + \"end\", '%b %-d, %Y') AS line FROM kw JOIN bi USING (event_id)")
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members_of(corpus(spark, sf_dir).strongest(TOP))
+    m = members_of(corpus(spark, sf_dir).eventful(BEYOND))
     keys = m.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dps")).alias("p"), "word"))), lambda x: x.word).alias("keywords"))
     return summarize.summary_lines(keys, given_bursts(m).withColumn("n_docs", F.lit(1)), "2014-01-01")
 
@@ -607,7 +607,7 @@ def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("summarize_bursts")
 def summarize_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    m = members_of(c.strongest(TOP))
+    m = members_of(c.eventful(BEYOND))
     v = embedded(spark, sf_dir, c.vocab.select("word_id", "word")).select("word", "vec")
     return summarize.summarize(_sentences(c, m).withColumn("burst_id", F.lit(0)), m.select("event_id", "word"), v)
 
@@ -619,7 +619,7 @@ _RE = ", re AS (SELECT CAST(item_id AS INT) AS real_id, CAST(item_id * 7 % 30 AS
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members_of(corpus(spark, sf_dir).strongest(TOP))
+    m = members_of(corpus(spark, sf_dir).eventful(BEYOND))
     real = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("real_id"), (F.col("item_id") * 7 % 30).cast("int").alias("day"), F.array_distinct(text.words(F.col("text"))).alias("words"))
     return evaluate.match_events(m.groupBy("event_id").agg(F.collect_list("word").alias("keywords")), given_bursts(m), real)
 
@@ -647,13 +647,13 @@ def noisiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("purity", BASE + _TK + ", p AS (SELECT event_id, source, count(*) AS n FROM sc JOIN d USING (doc_id) GROUP BY event_id, source) SELECT round(sum(b) / sum(n), 6) AS purity FROM (SELECT event_id, max(n) AS b, sum(n) AS n FROM p GROUP BY event_id)")
 def purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return evaluate.purity(_scored(c, members_of(c.strongest(TOP))).join(c.docs.select("doc_id", F.col("source").alias("label")), "doc_id")).select(r6("purity"))
+    return evaluate.purity(_scored(c, members_of(c.eventful(BEYOND))).join(c.docs.select("doc_id", F.col("source").alias("label")), "doc_id")).select(r6("purity"))
 
 
 @query("event_statistics", BASE + ", p AS (SELECT event_id, count(*) AS n FROM em JOIN w USING (word) GROUP BY event_id) SELECT count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n_words, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, max(n) AS most FROM p")
 def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = evaluate.statistics(members_of(c.strongest(TOP)).join(c.words, "word"))
+    own = evaluate.statistics(members_of(c.eventful(BEYOND)).join(c.words, "word"))
     return own.select("n_events", "n_words", r6("mean"), r6("std"), "least", "q25", "q50", "q75", "most")
 
 
@@ -698,14 +698,14 @@ def bursty_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_probability", BASE + _PB + ", z AS (SELECT event_id, count(*) AS size FROM em GROUP BY event_id), y AS (SELECT event_id, day, min(p_b) AS lo, sum(p_b) AS s, count(*) AS k FROM pb JOIN em USING (word) GROUP BY event_id, day) SELECT event_id, round(sum(CASE WHEN k = size THEN lo ELSE 0 END) / nullif(sum(s), 0), 6) AS p FROM y JOIN z USING (event_id) GROUP BY event_id")
 def event_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p_b = _bursty(spark, sf_dir)
-    return binomial.event_probability(p_b, members_of(c.strongest(TOP)).select("event_id", "word")).select("event_id", r6("p"))
+    return binomial.event_probability(p_b, members_of(c.eventful(BEYOND)).select("event_id", "word")).select("event_id", r6("p"))
 
 
 @query("document_likelihood", BASE + ", sz AS (SELECT word, count(DISTINCT doc_id) AS size FROM w JOIN ev USING (word) GROUP BY word), un AS (SELECT event_id, count(DISTINCT doc_id) AS m FROM em JOIN w USING (word) GROUP BY event_id), al AS (SELECT sum(ln(1 - size / (SELECT n FROM nd))) AS rest FROM sz) SELECT event_id, round(sum(ln(size / m)) + any_value(rest) - sum(ln(1 - size / (SELECT n FROM nd))), 5) AS ll FROM em JOIN sz USING (word) JOIN un USING (event_id), al GROUP BY event_id")
 def document_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    m = members_of(c.strongest(TOP)).select("event_id", "word")
-    hit = c.words.join(F.broadcast(m), "word")
+    m = members_of(c.eventful(BEYOND)).select("event_id", "word")
+    hit = c.words.join(m, "word")
     sizes = hit.groupBy("word").agg(F.countDistinct("doc_id").alias("size"))
     union = hit.groupBy("event_id").agg(F.countDistinct("doc_id").alias("m"))
     return binomial.document_likelihood(sizes, m, union, c.docs.count()).select("event_id", F.round("ll", 5).alias("ll"))
@@ -714,7 +714,7 @@ def document_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("overlapping_runs", BASE + _RUNS + ", x AS (SELECT word_id * 100 + first AS run_id, first, last FROM r WHERE n >= 6 AND word_id IN (SELECT word_id FROM ev)) SELECT a.run_id AS a, b.run_id AS b, round(greatest(0, least(a.last, b.last) - greatest(a.first, b.first)) / greatest(a.last - a.first, b.last - b.first), 6) AS overlap FROM x a JOIN x b ON a.run_id < b.run_id WHERE greatest(0, least(a.last, b.last) - greatest(a.first, b.first)) / greatest(a.last - a.first, b.last - b.first) > 0.5")
 def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    own = c.strongest(TOP).select("word_id")
+    own = c.eventful(BEYOND).select("word_id")
     active = c.vocab.join(own, "word_id", "left_semi").select("word_id", F.explode("by_day").alias("day", "c"))
     runs = co.runs_of_days(active.select("word_id", "day"), "word_id", 6, False).select((F.col("word_id") * 100 + F.col("first")).alias("run_id"), "first", "last")
     return binomial.overlapping_runs(runs, 0.5).select("a", "b", r6("overlap"))
@@ -761,7 +761,7 @@ def document_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = read_table(spark, sf_dir, "documents").select("doc_id", text.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return topics.count_vectors(tokens, min_df=MIN_DF, size=4096)[0].select("doc_id", "tokens", "features")
+    return topics.count_vectors(tokens, min_df=MIN_DF)[0].select("doc_id", "tokens", "features")
 
 
 @query("word2vec")

@@ -74,7 +74,7 @@ def scan(spark: SparkSession, path: str, dataset: str = "full") -> DataFrame:
     per_day = docs.groupBy("file_day").agg(F.count("*").alias("n"))
     order = Window.orderBy("file_day")  # a row for each file
     first = per_day.select("file_day", (F.sum("n").over(order) - F.col("n")).alias("before"), F.datediff("file_day", F.min("file_day").over(Window.partitionBy())).cast("int").alias("day"))
-    return docs.join(F.broadcast(first), "file_day").select((F.col("before") + F.col("doc_no")).alias("doc_id"), "day", "file_day", "name", "sentences")
+    return docs.join(first, "file_day").select((F.col("before") + F.col("doc_no")).alias("doc_id"), "day", "file_day", "name", "sentences")
 
 
 def _dicts(tokens: list[Token]) -> list[dict]:
