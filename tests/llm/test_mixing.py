@@ -83,3 +83,16 @@ def test_draws_follow_the_quotas():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(mixing.measure(docs))[2].collect() == [] and mixing.mixed_documents(docs).collect() == []
+
+
+def test_small_sources_do_not_vanish():
+    plan = mixing.make_plan([("a", 5), ("b", 40_000_000), (None, 300)], 250, 1)
+    assert all(d > 0 for d in plan.draws.sum(0))
+
+
+def test_rows_that_differ_in_language_only(spark):
+    """Rows that agree in id, text and source stay apart, each with its own language."""
+    text = "some words that say little " * 20
+    docs = spark.createDataFrame([(1, text, "en", "a", 5), (1, text, "de", "a", 5), (None, text, "fr", "a", 5), (None, text, None, "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed_documents(docs).collect()
+    assert {(r.doc_id, r.lang) for r in got} == {(1, "en"), (1, "de"), (None, "fr"), (None, None)}

@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, encoded, lean_batches, materialize, read_table, word_hashes
+from .common import WORD, encoded, lean_batches, materialize, read_table, row_keyed, word_hashes
 from .permute import feistel
 
 #: A mix has a weight for each source; more than so many would be data, not a configuration.
 MOST_SOURCES = 100_000
-#: Output shards at most; their draws are a table of shards x sources.
-MOST_SHARDS = 256
+#: Cells of the table of draws (shards x sources) that the driver keeps and sends at most; 256 shards in any case.
+CELLS = 1_000_000
 
 
 def weights_in_turn(n: int) -> list[int]:
@@ -63,8 +63,9 @@ def make_plan(totals: list[tuple[str | None, int]], block: int | None, seed: int
         least = min((n for n in sizes if n), default=1)
         block = min(2048, max(32, least // 2000, sum(sizes) // 20_000_000))
     blocks = np.array([-(-n // block) for n in sizes], dtype=np.int64)
-    quota = np.array([min(round(t / block), 2 * b) for t, b in zip(goal, blocks.tolist(), strict=True)], dtype=np.int64)
-    shards = int(min(MOST_SHARDS, max(1, quota.sum() // 512)))
+    # A source whose target fills less than half a block still gives one.
+    quota = np.array([min(max(round(t / block), 1), 2 * b) if n else 0 for t, n, b in zip(goal, sizes, blocks.tolist(), strict=True)], dtype=np.int64)
+    shards = int(min(max(256, CELLS // max(1, len(sizes))), max(1, quota.sum() // 512)))
     rng = np.random.default_rng(seed)
     draws, left = np.zeros((shards, len(sizes)), dtype=np.int64), quota.copy()
     for s in range(shards):
@@ -104,10 +105,11 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
 
 
 def measure(docs: DataFrame, name: str = "mix-sizes") -> DataFrame:
-    """doc_id, source, size, _k1, _k2 (a key of the row's text, language and source) of each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("_k1"), F.xxhash64(text, F.col("source"), F.col("source").isNull()).alias("_k2")]
-    return materialize(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *keys), name)
+    """doc_id, source, size, what the row holds (a hash, by which rows are ordered on any run) and its key (see row_keyed) of
+    each row. Rows that hold the same are interchangeable."""
+    text, own = F.coalesce(F.col("text"), F.lit("")), [c for c in ("lang", "source", "n_chars") if c in docs.columns]
+    held = F.xxhash64(text, *own, *(F.col(c).isNull() for c in own)).alias("holds")
+    return materialize(row_keyed(docs, "doc_id", "text", *own).select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), held, "_k1", "_k2"), name)
 
 
 def mix(sizes: DataFrame, block: int | None = None, seed: int = 11) -> tuple[Plan, DataFrame, DataFrame]:
@@ -118,17 +120,17 @@ def mix(sizes: DataFrame, block: int | None = None, seed: int = 11) -> tuple[Pla
     their own; other columns never reach it.
     """
     spark = sizes.sparkSession
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     plan = make_plan([(r.source, r.n) for r in totals], block, seed)
     codes = spark.createDataFrame([(s, i) for i, s in enumerate(plan.sources)], "source string, src int")
     codes = codes.withColumnRenamed("source", "_source")
-    parts = 256
-    own = sizes.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("part", F.pmod(F.xxhash64("_k1", "_k2"), F.lit(parts)).cast("int"))
+    parts = 256 + sum(r.rows for r in totals) // 50_000  # each adds up its documents of a source by itself
+    own = sizes.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("part", F.pmod(F.xxhash64("doc_id", "holds"), F.lit(parts)).cast("int"))
     sums = own.groupBy("src", "part").agg(F.sum("size").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n")).drop("n")
-    run = F.sum("size").over(Window.partitionBy("src", "part").orderBy("_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum("size").over(Window.partitionBy("src", "part").orderBy("doc_id", "holds", "_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1))
     placed = own.withColumn("run", F.coalesce(run, F.lit(0))).join(before, ["src", "part"]).withColumn("start", F.col("before") + F.col("run")).drop("before", "run", "part")
     placed = materialize(placed, "mix-placed")
     length, end = plan.block, F.col("start") + F.col("size")
@@ -150,13 +152,11 @@ def mixed_documents(docs: DataFrame, block: int | None = None, seed: int = 11) -
     """documents -> documents as the mix takes them: a row for each document and epoch (pass over its source) of which it has
     words, with those words; a text taken as a whole stays as it is, else the taken ranges are joined by a space."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = lean_batches(docs).select(*names)
+    docs = row_keyed(lean_batches(docs), *names)
     plan, placed, segments = mix(measure(docs), block, seed)
     ranges = segments.groupBy("src", "start", "epoch").agg(F.collect_list(F.struct("at", "length")).alias("ranges"))
     taken = placed.where("size > 0").join(ranges, ["src", "start"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "epoch", "ranges")).alias("takes"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))), "_k2": F.xxhash64(text, F.col("source"), F.col("source").isNull())})
-    joined = keyed.join(taken, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*names, "takes")
+    joined = docs.join(taken, ["_k1", "_k2"]).select(*names, "takes")
     nullable = {c: t for c, t in docs.dtypes}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
