@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from test_jaccard_near import brute_first, ids
 from test_packing import check
 from test_quality import brute as counts
-from test_simhash_near import brute_fp, brute_groups
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 BOILER = "All rights reserved by the site"
@@ -60,12 +60,9 @@ def test_stages(spark, docs):
     assert all(r.n_chars == len(r.text) for r in now if BOILER not in r.text and r.n_chars != 1)
 
     df = stages["simhash near-dedup"](spark, df, "")
-    group = brute_groups([brute_fp(r.text) for r in now], 3)
-    first = {}
-    for r, g in zip(now, group):
-        first[g] = min(first.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    before, want = len(now), brute_first(now)  # the stage's rule: five words, similarity 0.8 or more
     now = df.collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in now) == sorted(first.values()) and len(now) < len(group)
+    assert ids(now) == want and len(now) < before
 
     df = stages["source mixing"](spark, df, "")
     words = Counter()
