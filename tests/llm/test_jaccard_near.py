@@ -87,3 +87,16 @@ def test_join_similar():
                 if both and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
                     want[want == max(want[i], want[j])] = min(want[i], want[j])
         assert (jaccard_near.join_similar(sets, np.zeros(len(sets), np.uint64)) == want).all()
+
+
+def test_trees_and_bands(spark):
+    """Fingerprints within the trees' radius are candidates without a shared band; further apart, those of one band are."""
+    fp = 0x0F0F_3355_1234_5678
+    rows = [(1, fp, [10, 11]), (2, fp ^ 0b111, [20, 21]), (3, fp ^ (1 << 40), [30, 31])]  # the trees'
+    rows += [(4, fp ^ (0xFFFF << 16), [40, 41]), (5, fp ^ (0xFFF << 16), [50, 41]), (6, ~fp, [60, 41])]  # 4 bits apart: the band's; the last is too far
+    rows += [(7, fp ^ (0xFFFFFF << 8), [70, 71]), (8, fp ^ (0xFFFFFF << 8), [80, 81]), (9, fp ^ (0xFF << 48), [90, 91])]  # one fingerprint of two sets; alone
+    found = jaccard_near.candidate_groups(spark.createDataFrame(rows, "s long, fp long, bands array<long>")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.cand, set()).add(r.s)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5], [7, 8]]

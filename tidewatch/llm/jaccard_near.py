@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash names the candidates, the shingles themselves decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash names the candidates, the shingles themselves decide.
+
+Fingerprints are searched in op6's vantage-point trees (simhash_near.py), which reach as far as their triangle bounds prune.
+Pairs that are similar and lie further apart come from bands of least shingles; what either names is compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import encoded, keyed_stream, lean_batches, materialize, mix64, row_keyed, word_hashes
 from .components import components
-from .simhash_near import _union
+from .simhash_near import _union, near_links
 
 #: Words of a shingle and the similarity from which two texts are near copies.
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits up to which the trees are searched: beyond, a shard's bounds reach over most of the others.
+TREE_RADIUS = 3
 #: Bits in which the SimHash of two candidates may differ. At similarity 0.8 some 10 differ, with a deviation of 3.
 RADIUS = 24
 #: Bands of smallest shingles. Of two texts of similarity 0.8 all bands differ in one case of 2e9: (1 - 0.8^3)^30.
@@ -61,11 +67,13 @@ def _set_key(h: np.ndarray) -> int:
     return int(mix64(mix64(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).view(np.int64)[0])
 
 
-def candidate_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """sets (s, fp, bands) -> links (u, v) that join all sets which share a band and lie within `radius` bits."""
+def band_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps (fp, bands, perhaps repeated) -> links (u, v) that join all fingerprints which share a band and lie within `radius` bits."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, s, fp = pdf["key"].to_numpy(), pdf["s"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        key, fp = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        new = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]  # copies
+        key, fp = key[new], fp[new]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         first = np.repeat(edge[:-1], np.diff(edge))
         near = np.bitwise_count(fp ^ fp[first]) <= radius
@@ -79,10 +87,20 @@ def candidate_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
                 _union(own, j + a, b)
             parent[lo:hi] = own + lo
         moved = np.flatnonzero(parent != np.arange(len(key)))
-        return pd.DataFrame({"u": s[moved], "v": s[parent[moved]]})
+        return pd.DataFrame({"u": fp[moved].view(np.int64), "v": fp[parent[moved]].view(np.int64)})
+
+    rows = fps.select(F.explode("bands").alias("key"), "fp")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(keyed_stream(compare, "key"), "u long, v long").where("u <> v").distinct()
+
 
-    rows = sets.select(F.explode("bands").alias("key"), "s", "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(keyed_stream(compare, "key"), "u long, v long").where("u <> v").distinct()
+def candidate_groups(own: DataFrame) -> DataFrame:
+    """own (s, fp, bands) -> s, cand: sets that links of the trees or of the bands join, without those that are alone."""
+    links = near_links(own.select("fp").distinct(), TREE_RADIUS).union(band_links(own))
+    stars = components(links)
+    member = stars.select(F.col("u").alias("fp"), F.col("v").alias("cand")).union(stars.select(F.col("v").alias("fp"), F.col("v").alias("cand")).distinct())
+    sets = own.select("s", "fp").distinct().join(member, "fp", "left").select("s", F.coalesce("cand", "fp").alias("cand"))
+    sets = materialize(sets, "candidates")
+    return sets.join(sets.groupBy("cand").agg(F.count("*").alias("n")).where("n > 1").select("cand"), "cand")
 
 
 def shared_prefix(hashes: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,8 +159,9 @@ def join_similar(hashes: list[np.ndarray], fps: np.ndarray, similarity: float =
 def near_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, _k1, _k2 (see row_keyed), group: texts of similarity SIMILARITY or more are joined, and what these join.
 
-    Null texts and those without words are one group. Sets that share a band and lie within RADIUS bits are joined to
-    candidate groups, and within these all pairs are compared exactly, but for those that are joined already.
+    Null texts and those without words are one group. Sets whose fingerprints the trees find within TREE_RADIUS bits, or that
+    share a band and lie within RADIUS bits, are joined to candidate groups, and within these all pairs are compared exactly,
+    but for those that are joined already.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,9 +183,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     keyed = row_keyed(lean_batches(docs), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     keys = "_k1 long, _k2 long"
     own = materialize(keyed.mapInPandas(describe, f"doc_id long, {keys}, s long, fp long, bands array<long>"), "shingle-sets")
-    stars = components(candidate_links(own))
-    cand = materialize(stars.select(F.col("u").alias("s"), F.col("v").alias("cand")).union(stars.select(F.col("v").alias("s"), F.col("v").alias("cand")).distinct()), "candidates")
-    one = own.join(cand, "s").groupBy("s", "cand").agg(F.first(F.struct("_k1", "_k2", "fp")).alias("r")).select("s", "cand", "r.*")
+    one = own.join(candidate_groups(own), "s").groupBy("s", "cand").agg(F.first(F.struct("_k1", "_k2", "fp")).alias("r")).select("s", "cand", "r.*")
     one = materialize(one, "one-of-each")  # its size decides whether texts have to be shuffled
     texts = keyed.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).mapInPandas(unfold, "cand long, s long, fp long, h binary")
     found = texts.repartition("cand").sortWithinPartitions("cand", "s").mapInPandas(keyed_stream(verify, "cand"), "s long, group long")
