@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import jaccard_near, line_dedup, mixing, packing, quality
-from tidewatch.llm.common import materialize, row_keyed
+from tidewatch.llm.common import materialize, only_marked, row_keyed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = row_keyed(docs, *COLUMNS)
     groups = jaccard_near.near_groups(keyed)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("r")).select("r._k1", "r._k2")
-    return keyed.join(first, ["_k1", "_k2"], "left_semi").select(*COLUMNS)
+    return only_marked(keyed, first).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import jaccard_near
+from tidewatch.llm.common import materialize, only_marked, row_keyed
 
 
 def brute_set(text):
@@ -100,3 +102,28 @@ def test_trees_and_bands(spark):
     for r in found:
         groups.setdefault(r.cand, set()).add(r.s)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5], [7, 8]]
+
+
+def test_only_marked(spark, tmp_path):
+    """The rows marked, whatever their place in a file and the number of files; texts beside the keys are not shuffled."""
+    spark.range(0, 1000, 1, 3).selectExpr("id", "CAST(id AS string) AS text").write.parquet(str(tmp_path / "t"))
+    keyed = row_keyed(spark.read.parquet(str(tmp_path / "t")), "id", "text")
+    for want in ([], [0], [63, 64, 127, 999], list(range(0, 1000, 3)), list(range(1000))):
+        rows = materialize(keyed.where(F.col("id").isin(want)).select("_k1", "_k2"), "some")
+        out = only_marked(keyed, rows.union(rows))
+        assert sorted(r.id for r in out.collect()) == want and out.columns == keyed.columns
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_stay(spark, tmp_path):
+    """The stage keeps and leaves rows without a shuffle of their texts, also where Spark may broadcast nothing by itself."""
+    spark.createDataFrame([(i, f"text of number {i // 2} " * 9, "en", "a", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), "")
+        assert sorted(r.doc_id for r in out.collect()) == list(range(0, 60, 2))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, keyed_stream, lean_batches, materialize, mix64, row_keyed, word_hashes
+from .common import encoded, keyed_stream, lean_batches, materialize, mix64, only_marked, row_keyed, word_hashes
 from .components import components
 from .simhash_near import _union, near_links
 
@@ -184,7 +184,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     keys = "_k1 long, _k2 long"
     own = materialize(keyed.mapInPandas(describe, f"doc_id long, {keys}, s long, fp long, bands array<long>"), "shingle-sets")
     one = own.join(candidate_groups(own), "s").groupBy("s", "cand").agg(F.first(F.struct("_k1", "_k2", "fp")).alias("r")).select("s", "cand", "r.*")
-    one = materialize(one, "one-of-each")  # its size decides whether texts have to be shuffled
-    texts = keyed.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).mapInPandas(unfold, "cand long, s long, fp long, h binary")
+    one = materialize(one, "one-of-each")
+    texts = only_marked(keyed.select("_k1", "_k2", "text"), one).join(one, ["_k1", "_k2"]).mapInPandas(unfold, "cand long, s long, fp long, h binary")
     found = texts.repartition("cand").sortWithinPartitions("cand", "s").mapInPandas(keyed_stream(verify, "cand"), "s long, group long")
     return own.select("doc_id", "_k1", "_k2", "s").join(found, "s", "left").select("doc_id", "_k1", "_k2", F.coalesce("group", "s").alias("group"))
