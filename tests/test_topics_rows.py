@@ -26,3 +26,14 @@ def test_nmf_sums_by_blocks(weighted, monkeypatch):
     mix, got = topics.nmf(own, k=3, rounds=2)
     np.testing.assert_allclose(got, h, rtol=1e-9)
     assert mix.count() == 30
+
+
+def test_lsi_rows_are_written_once(weighted, monkeypatch):
+    written = []
+    monkeypatch.setattr(topics, "materialize", lambda df, name, own=topics.materialize: written.append(name) or own(df, name))
+    x, own = weighted
+    got = np.array([r.vec for r in topics.lsi_vectors(own, 3).orderBy("doc_id").collect()])
+    want = x @ np.linalg.svd(x)[2][:3].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    np.testing.assert_allclose(np.abs(got), np.abs(want), atol=1e-6)
+    assert written == ["lsi"]
