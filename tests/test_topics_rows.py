@@ -37,3 +37,13 @@ def test_lsi_rows_are_written_once(weighted, monkeypatch):
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     np.testing.assert_allclose(np.abs(got), np.abs(want), atol=1e-6)
     assert written == ["lsi"]
+
+
+def test_word_vectors_in_parts(spark, monkeypatch):
+    """Trained by as many tasks as the documents give, not by one; every word of every part has a vector."""
+    monkeypatch.setattr(topics, "DOCS_A_PART", 10, raising=False)
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", f"w{(i + 1) % 7}", "all"] * 4) for i in range(35)], "doc_id long, tokens array<string>")
+    vecs, model = topics.word_vectors(rows, size=4, rounds=1)
+    assert model.getNumPartitions() == 4
+    assert {r.word for r in vecs.collect()} == {"all", *(f"w{i}" for i in range(7))}
+    assert topics.document_vectors(rows, model).count() == 35
