@@ -85,7 +85,8 @@ class EventPipeline:
         sentences = lines.select("event_id", "burst_id", "doc_id", F.col("i").alias("sent_no"), lemma.alias("lemma")).where(F.size("lemma") > self.settings.shortest)
         sentences = summarize.unique_sentences(sentences, ("event_id", "burst_id"))
         sentences = sentences.select("event_id", "burst_id", summarize.sentence_id(F.col("doc_id"), F.col("sent_no")).alias("sent_id"), "lemma")
-        summary = summarize.summarize(sentences.withColumn("content", text.clean(F.col("lemma"))), members.select("event_id", "word"), vectors, self.settings)
+        sentences = summarize.laid_by_event(sentences, "sent_id").withColumn("content", text.clean(F.col("lemma")))
+        summary = summarize.summarize(sentences, members.select("event_id", "word"), vectors, self.settings)
         return Result(own, members, where, found, summary)
 
 
