@@ -96,3 +96,12 @@ def test_rows_that_differ_in_language_only(spark):
     docs = spark.createDataFrame([(1, text, "en", "a", 5), (1, text, "de", "a", 5), (None, text, "fr", "a", 5), (None, text, None, "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = mixing.mixed_documents(docs).collect()
     assert {(r.doc_id, r.lang) for r in got} == {(1, "en"), (1, "de"), (None, "fr"), (None, None)}
+
+
+def test_cutting_a_text_makes_no_hashes_of_its_words(spark):
+    """Cutting needs where words begin and end; hashes of a large text would take many times its size."""
+    assert "word_hashes" not in vars(mixing) and "word_bounds" in vars(mixing)
+    docs = spark.createDataFrame([(1, " z\u00e4hl\twort  \U0001f600 " * 400, "en", "a", 5), (2, "x " * 900, "en", "b", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(mixing.measure(docs))[2].groupBy().sum("length").first()[0]
+    got = mixing.mixed_documents(docs).collect()
+    assert sum(len(W.findall(r.text)) for r in got) == taken and {w for r in got for w in W.findall(r.text)} <= {"z\u00e4hl", "wort", "\U0001f600", "x"}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, encoded, lean_batches, materialize, read_table, row_keyed, word_hashes
+from .common import WORD, encoded, lean_batches, materialize, read_table, row_keyed, word_bounds
 from .permute import feistel
 
 #: A mix has a weight for each source; more than so many would be data, not a configuration.
@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame, block: int | None = None, seed: int = 11) -
         for pdf in batches:
             rows, texts = [], []
             for i, (text, takes) in enumerate(zip(encoded(pdf["text"]), pdf["takes"], strict=True)):
-                _, starts, ends = word_hashes(text)
+                starts, ends = word_bounds(np.frombuffer(text, np.uint8))
                 for take in takes:
                     spans: list[list[int]] = []
                     for at, length in sorted((r["at"], r["length"]) for r in take["ranges"]):
